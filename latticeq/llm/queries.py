@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality, urlfilter
+from . import quality, secrets, urlfilter, warc
 
 QUERIES = {
+    "op3_warc_segments": warc.query,
+    "op4_secret_scan": secrets.query,
     "op5_url_rules": urlfilter.query,
     "op8_quality_rules": quality.query,
 }
 
 ORACLES = {
+    "op3_warc_segments": warc.ORACLE,
     "op5_url_rules": urlfilter.ORACLE,
     "op8_quality_rules": quality.ORACLE,
 }
