@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, urlfilter, warc
+from . import neardup, quality, secrets, urlfilter, warc
 
 QUERIES = {
     "op3_warc_segments": warc.query,
     "op4_secret_scan": secrets.query,
     "op5_url_rules": urlfilter.query,
     "op8_quality_rules": quality.query,
+    "op9_near_duplicates": neardup.query,
 }
 
 ORACLES = {
     "op3_warc_segments": warc.ORACLE,
     "op5_url_rules": urlfilter.ORACLE,
     "op8_quality_rules": quality.ORACLE,
+    "op9_near_duplicates": neardup.ORACLE,
 }
