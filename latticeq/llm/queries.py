@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import neardup, quality, secrets, urlfilter, warc
+from . import decontamination, neardup, quality, secrets, urlfilter, warc
 
 QUERIES = {
+    "op1_decontamination": decontamination.query,
     "op3_warc_segments": warc.query,
     "op4_secret_scan": secrets.query,
     "op5_url_rules": urlfilter.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_decontamination": decontamination.ORACLE,
     "op3_warc_segments": warc.ORACLE,
     "op5_url_rules": urlfilter.ORACLE,
     "op8_quality_rules": quality.ORACLE,
