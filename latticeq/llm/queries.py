@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, neardup, quality, secrets, urlfilter, warc
+from . import decontamination, neardup, quality, secrets, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
+    "op2_toxicity": toxicity.query,
     "op3_warc_segments": warc.query,
     "op4_secret_scan": secrets.query,
     "op5_url_rules": urlfilter.query,
