@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, neardup, quality, secrets, toxicity, urlfilter, warc
+from . import decontamination, mixing, neardup, quality, quotes, secrets, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc_segments": warc.query,
     "op4_secret_scan": secrets.query,
     "op5_url_rules": urlfilter.query,
+    "op6_quotation_links": quotes.query,
     "op7_source_mixing": mixing.query,
     "op8_quality_rules": quality.query,
     "op9_near_duplicates": neardup.query,
