@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, neardup, quality, quotes, secrets, toxicity, urlfilter, warc
+from . import decontamination, lm, mixing, neardup, quality, quotes, secrets, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_source_mixing": mixing.query,
     "op8_quality_rules": quality.query,
     "op9_near_duplicates": neardup.query,
+    "op10_language_model": lm.query,
 }
 
 ORACLES = {
