@@ -42,7 +42,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there, executors may be lost."""
     where = scratch(df.sparkSession, label)
     df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    out = df.sparkSession.read.schema(df.schema).parquet(where)
+    out.stored_at = where
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what ``stored`` wrote, for tables that nothing will read any more."""
+    for df in tables:
+        if df is not None:
+            drop(df.sparkSession, df.stored_at)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -58,10 +67,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.where("a <> b").distinct(), "links")
+        discard(stars)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         stars = stored(small, "links")
+        discard(large)
         state = stars.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if state == last:
             return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())

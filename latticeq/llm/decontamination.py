@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import text as X
@@ -102,6 +103,37 @@ def search(index: Index, hashes: np.ndarray) -> list[int]:
     return [int(i) for i, c in zip(found, count, strict=True) if c >= index.least[i]]
 
 
+def matches(column: pa.Array, index: Index, size: int, percent: int) -> Iterator[tuple[int, int, int]]:
+    """(row, item, shared shingles) for every item of the index that a text contains."""
+    for lo, _, data, at in X.pieces(column):
+        tokens = X.words(data, at, codes=X.FOLDED_CODES)
+        every = X.window_hashes(tokens.hashes, size)
+        hit = np.zeros(len(tokens.hashes) + 1, bool)
+        hit[: len(every)] = index.bits[(every & np.uint64((1 << 20) - 1)).astype(np.int64)]
+        hits = np.concatenate([[0], np.cumsum(hit)])
+        for i, (a, b) in enumerate(zip(tokens.rows[:-1], tokens.rows[1:], strict=True), lo):
+            last = max(a, b - size + 1)
+            near = search(index, every[a:last]) if hits[last] > hits[a] else []
+            if index.short:
+                w = _WORD.findall((column[i].as_py() or "").translate(_FOLD))
+                runs = {" ".join(w[j : j + n]) for n in range(1, size) for j in range(len(w) - n + 1)}
+                yield from ((i, x, 1) for s in sorted(runs & index.short.keys()) for x in index.short[s])
+            if near:
+                own = shingles(column[i].as_py(), size)
+                for x in near:
+                    same = len(index.exact[x] & own)
+                    if 100 * same >= percent * len(index.exact[x]):
+                        yield i, x, same
+
+
+def blocks_of(benchmark: DataFrame, item: str, text: str, size: int, percent: int, keep: int, block_rows: int) -> Iterator[Index]:
+    """The benchmark's items in blocks of some ``block_rows``; each block is all that is held at a time."""
+    items = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null").distinct()
+    blocks = max(1, math.ceil(items.count() / block_rows))
+    for block in range(blocks):
+        yield build([tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()], size, percent / 100, keep)
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80, keep: int = 64, block_rows: int = 20_000, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs with 100 * shared shingles >= ``percent`` * item shingles: key, item, n_item, n_shared.
 
@@ -110,52 +142,41 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = 5, perc
     document. Null or empty texts and items contain nothing and are contained in nothing; null ids pass
     through; repeated documents give repeated rows, repeated items (same id and text) count once.
     """
-    share = percent / 100
     spark = documents.sparkSession
-    items = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null").distinct()
-    blocks = max(1, math.ceil(items.count() / block_rows))
-    schema = f"{key} {documents.schema[key].dataType.simpleString()}, {item} {benchmark.schema[item].dataType.simpleString()}, n_item long, n_shared long"
+    schema = T.StructType([T.StructField(key, documents.schema[key].dataType), T.StructField(item, benchmark.schema[item].dataType), T.StructField("n_item", T.LongType()), T.StructField("n_shared", T.LongType())])
     item_type = to_arrow_type(benchmark.schema[item].dataType)
     out = None
-    for block in range(blocks):
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()]
-        shared = spark.sparkContext.broadcast(build(rows, size, share, keep))
+    for index in blocks_of(benchmark, item, item_text, size, percent, keep, block_rows):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index: Index = shared.value
+            own: Index = shared.value
             for batch in batches:
-                keys, found, total, both = [], [], [], []
-                for lo, hi, data, at in X.pieces(batch.column(1)):
-                    tokens = X.words(data, at, codes=X.FOLDED_CODES)
-                    every = X.window_hashes(tokens.hashes, size)
-                    hit = np.zeros(len(tokens.hashes) + 1, bool)
-                    hit[: len(every)] = index.bits[(every & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                    hits = np.concatenate([[0], np.cumsum(hit)])
-                    for i, (a, b) in enumerate(zip(tokens.rows[:-1], tokens.rows[1:], strict=True)):
-                        last = max(a, b - size + 1)
-                        near = search(index, every[a:last]) if hits[last] > hits[a] else []
-                        if index.short:
-                            w = _WORD.findall((batch.column(1)[lo + i].as_py() or "").translate(_FOLD))
-                            runs = {" ".join(w[j : j + n]) for n in range(1, size) for j in range(len(w) - n + 1)}
-                            near = near + [x for s in runs & index.short.keys() for x in index.short[s]]
-                        if not near:
-                            continue
-                        own = shingles(batch.column(1)[lo + i].as_py(), size)
-                        for x in near:
-                            same = len(index.exact[x] & own) if index.least[x] != math.inf else 1
-                            if same and 100 * same >= percent * len(index.exact[x]):
-                                keys.append(lo + i)
-                                found.append(index.ids[x])
-                                total.append(len(index.exact[x]))
-                                both.append(same)
-                if keys:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), pa.array(found, item_type), pa.array(total, pa.int64()), pa.array(both, pa.int64())], names=[key, item, "n_item", "n_shared"])
+                if found := list(matches(batch.column(1), own, size, percent)):
+                    rows, items, both = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([own.ids[x] for x in items], item_type), pa.array([len(own.exact[x]) for x in items], pa.int64()), pa.array(both, pa.int64())], names=schema.names)
 
         part = documents.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return out
 
 
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80, keep: int = 64, block_rows: int = 20_000, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``documents`` without the rows that contain an item, in the sense of ``contaminated``; no shuffle."""
+    spark, at = documents.sparkSession, documents.columns.index(text)
+    for index in blocks_of(benchmark, item, item_text, size, percent, keep, block_rows):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[i for i, _, _ in matches(batch.column(at), shared.value, size, percent)]] = False
+                yield batch.filter(pa.array(clean))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
