@@ -75,5 +75,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(large)
         state = stars.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if state == last:
-            return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
+            out = stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
+            out.stored_at = stars.stored_at
+            return out
         last = state
