@@ -16,7 +16,7 @@ from latticeq.llm.common import scratch, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, trained on the labels of these documents, doesn't reject."""
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.default_categories())
-    return toxicity.score(docs, chain, keep=docs.columns).where("not rejected").select(docs.columns)
+    return toxicity.without_rejected(docs, chain)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

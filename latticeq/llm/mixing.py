@@ -120,13 +120,14 @@ def mix_sources(documents: DataFrame, weights: dict[str, int] | None = None, blo
     numbered = rows.withColumn("__n", F.row_number().over(inside) - 1)
     same = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__cell") == F.col("__c"))
     numbered = numbered.join(offsets, same).withColumn("__at", F.col("__n") + F.col("__before")).withColumn("block", F.floor(F.col("__at") / block_rows))
-    phase_frame = spark.createDataFrame(spans, "phase int, ps string, first long, until long, start long, period long, share long")
-    place_frame = spark.createDataFrame(places, "phase int, qs string, turn long, step long")
+    phase_frame = spark.createDataFrame(spans, "__phase int, __ps string, __first long, __until long, __start long, __period long, __share long")
+    place_frame = spark.createDataFrame(places, "__qp int, __qs string, __turn long, __step long")
     # Both have a bounded number of rows: sources times phases, and a period's slots times phases.
-    out = numbered.join(F.broadcast(phase_frame), F.col("__source").eqNullSafe(F.col("ps")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("until")))
-    turn = (F.col("block") - F.col("first")) % F.col("share")
-    out = out.withColumn("__turn", turn).join(F.broadcast(place_frame.withColumnRenamed("phase", "qp")), F.col("__source").eqNullSafe(F.col("qs")) & (F.col("phase") == F.col("qp")) & (F.col("__turn") == F.col("turn")))
-    slot = F.col("start") + F.floor((F.col("block") - F.col("first")) / F.col("share")) * F.col("period") + F.col("step")
+    block = F.col("block")
+    out = numbered.join(F.broadcast(phase_frame), F.col("__source").eqNullSafe(F.col("__ps")) & (block >= F.col("__first")) & (block < F.col("__until")))
+    turn = (block - F.col("__first")) % F.col("__share")
+    out = out.join(F.broadcast(place_frame), F.col("__source").eqNullSafe(F.col("__qs")) & (F.col("__phase") == F.col("__qp")) & (turn == F.col("__turn")))
+    slot = F.col("__start") + F.floor((block - F.col("__first")) / F.col("__share")) * F.col("__period") + F.col("__step")
     out = out.withColumn("slot", slot).withColumn("place", F.col("slot") * block_rows + F.col("__at") % block_rows)
     taken = [c for c in keep if c not in ("block", "slot", "place")]
     return out.select(*[F.col(f"`{c}`") for c in taken], F.col("block").cast("long").alias("block"), F.col("slot").cast("long").alias("slot"), F.col("place").cast("long").alias("place"))

@@ -63,7 +63,7 @@ def link(messages: DataFrame) -> DataFrame:
     alone. Rows of the same conv_id and turn count as one message for links and give a row each. Other
     columns are dropped; an empty table gives no rows.
     """
-    given = parse(messages.select("conv_id", "turn", "role", "text"))
+    given = parse(messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text"))
     hashed = lambda units: F.transform(units, lambda u: F.struct(F.md5(u).alias("h"), F.length(u).alias("size")))
     own = given.select("conv_id", "turn", F.explode(hashed(_units(F.col("body")))).alias("u"))
     quoted = given.where(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("run", "p"))

@@ -234,6 +234,22 @@ def score(documents: DataFrame, chain: Chain, key: str = "doc_id", text: str = "
     return documents.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
+def without_rejected(documents: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
+    """``documents`` without the rows that ``score`` rejects; columns of any names stay as they are."""
+    at = documents.columns.index(text)
+    shared = documents.sparkSession.sparkContext.broadcast(chain)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Chain = shared.value
+        bits = _bits(own.vocabulary)
+        for batch in batches:
+            for lo, hi, row, feature, value in _hits(batch.column(at), own.vocabulary, bits):
+                p = own.probabilities(row, feature, value, hi - lo)[:, -1]
+                yield batch.slice(lo, hi - lo).filter(pa.array((p < own.threshold) | (own.threshold >= 1)))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def default_categories() -> list[tuple[str, F.Column]]:
     return [("low_quality", F.col("quality") == 0), ("toxic", F.col("toxic") == 1)]
 
