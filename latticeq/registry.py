@@ -111,7 +111,7 @@ def _(e):
     return e.frame(from_("lineitem").select([status], [expression("x", "sum(l_extendedprice * l_discount) / sum(l_quantity)"), expression("y", "count(*) FILTER (WHERE l_tax > 0.05)")]).build())
 
 
-@query("binary_measures", """SELECT l_returnflag, sum(l_quantity) qty, count(*) _contributors_count_, round(sum(l_quantity) / count(*), 6) per, round((sum(l_quantity) - count(*)) / count(*), 6) rel, sum(l_quantity) + count(*) plus, 2 * count(*) twice, 1.5 * count(*) more FROM lineitem GROUP BY ALL""", per=6, rel=6)
+@query("binary_measures", """SELECT l_returnflag, sum(l_quantity) qty, count(*) _contributors_count_, round(sum(l_quantity) / count(*), 6) per, round((sum(l_quantity) - count(*)) / count(*), 6) rel, sum(l_quantity) + count(*) plus, 2 * count(*) twice, CAST(1.5 * count(*) AS DOUBLE) more FROM lineitem GROUP BY ALL""", per=6, rel=6)
 def _(e):
     m = [total_qty, count_all, divide("per", total_qty, count_all), relative_difference("rel", total_qty, count_all), plus("plus", total_qty, count_all), multiply("twice", integer(2), count_all), multiply("more", decimal(1.5), count_all)]
     return e.frame(from_("lineitem").select([flag], m).build())
@@ -155,7 +155,7 @@ def _(e):
     return e.frame(from_("part").join(BUCKETS).on(on).select(["bucket"], [count_all, sum_("v", "p_retailprice")]).build())
 
 
-@query("virtual_from", "SELECT bucket, sum(high - low) w FROM (VALUES ('small', 0, 10), ('medium', 10, 30), ('large', 30, 1000)) s(bucket, low, high) GROUP BY ALL")
+@query("virtual_from", "SELECT bucket, CAST(sum(high - low) AS BIGINT) w FROM (VALUES ('small', 0, 10), ('medium', 10, 30), ('large', 30, 1000)) s(bucket, low, high) GROUP BY ALL")
 def _(e):
     return e.frame(from_(BUCKETS).select(["bucket"], [sum_("w", minus("high", "low"))]).build())
 
@@ -239,7 +239,7 @@ PERIODS = {"year": 1, "semester": 2, "quarter": 4, "month": 12}
 def _period(name: str, k: int, years: int, parts: int) -> None:
     part = {"semester": "CAST(floor((quarter(o_orderdate) + 1) / 2) AS INT)", "quarter": "quarter(o_orderdate)", "month": "month(o_orderdate)"}.get(name, "1")
     shown = "" if k == 1 else ", p"
-    sql = f"""WITH t AS (SELECT year(o_orderdate) y, {part} p, count(*) n FROM orders GROUP BY ALL)
+    sql = f"""WITH t AS (SELECT CAST(year(o_orderdate) AS INT) y, CAST({part} AS INT) p, count(*) n FROM orders GROUP BY ALL)
       SELECT a.y{shown.replace(', p', ', a.p')}, a.n _contributors_count_, a.n - b.n diff FROM t a LEFT JOIN t b ON b.y * {k} + b.p = a.y * {k} + a.p + {parts + k * years}"""
 
     @query(f"period_{name}", sql)
@@ -367,7 +367,7 @@ def _(e):
     return e.frame(from_("ev").select(["event_type"], [m]).build())
 
 
-@query("sql_functions", """SELECT upper(n_name) "upper(n_name)", lower(trim(r_name)) "lower(trim(r_name))", year(o_orderdate) "year(o_orderdate)", quarter(o_orderdate) q, month(o_orderdate) m, count(*) _contributors_count_, min(abs(c_acctbal)) a, max(length(c_name)) n
+@query("sql_functions", """SELECT upper(n_name) "upper(n_name)", lower(trim(r_name)) "lower(trim(r_name))", CAST(year(o_orderdate) AS INT) "year(o_orderdate)", CAST(quarter(o_orderdate) AS INT) q, CAST(month(o_orderdate) AS INT) m, count(*) _contributors_count_, min(abs(c_acctbal)) a, CAST(max(length(c_name)) AS INT) n
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE year(o_orderdate) >= 1996 GROUP BY ALL""")
 def _(e):
     q = from_("orders").join("customer").on(criterion("orders.o_custkey", "customer.c_custkey")).join("nation").on(criterion("customer.c_nationkey", "nation.n_nationkey")).join("region").on(criterion("nation.n_regionkey", "region.r_regionkey"))
@@ -386,6 +386,6 @@ def _(e):
     return e.frame(from_("region").where(criterion(current_date(), not_null)).select([current_date().as_("today")], [count_all]).build())
 
 
-@query("raw_sql", "SELECT l_linestatus, rank() OVER (ORDER BY sum(l_quantity) DESC) r FROM lineitem GROUP BY ALL")
+@query("raw_sql", "SELECT l_linestatus, CAST(rank() OVER (ORDER BY sum(l_quantity) DESC) AS INT) r FROM lineitem GROUP BY ALL")
 def _(e):
     return e.sql("SELECT l_linestatus, rank() OVER (ORDER BY sum(l_quantity) DESC) r FROM lineitem GROUP BY l_linestatus")
