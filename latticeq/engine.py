@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -176,9 +177,11 @@ class Engine:
         return queryjoin.joined(plain, q, self.limit or 10_000)
 
     def sql(self, text: str) -> DataFrame:
-        """Raw SQL over the catalog's tables, which become views of this session."""
-        for name, frame in self.catalog.frames.items():
-            frame.createOrReplaceTempView(name)
+        """Raw SQL over the catalog's tables; those whose names stand in ``text`` become views of this session."""
+        words = {w.lower() for w in re.findall(r"\w+", text)}
+        for name in self.catalog.frames:
+            if words.issuperset(re.findall(r"\w+", name.lower())):
+                self.catalog.table(name).createOrReplaceTempView(name)
         return self.spark.sql(text)
 
     def metadata(self) -> dict[str, Any]:

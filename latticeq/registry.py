@@ -26,7 +26,7 @@ ORACLES: dict[str, str] = {}
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     e = Engine(spark, limit=None)
     for name in TABLES:
-        e.catalog.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        e.catalog.register_later(name, lambda name=name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     return e
 
 
@@ -389,3 +389,79 @@ def _(e):
 @query("raw_sql", "SELECT l_linestatus, CAST(rank() OVER (ORDER BY sum(l_quantity) DESC) AS INT) r FROM lineitem GROUP BY ALL")
 def _(e):
     return e.sql("SELECT l_linestatus, rank() OVER (ORDER BY sum(l_quantity) DESC) r FROM lineitem GROUP BY l_linestatus")
+
+
+@query("more_aggregates", """SELECT l_returnflag, count_if(l_quantity > 30) many, bool_or(l_tax > 0.07) any_, round(covar_samp(l_quantity, l_extendedprice), 3) covar, mode(l_linestatus) usual, round(variance(l_quantity), 5) var FROM lineitem GROUP BY ALL""", covar=3, var=5)
+def _(e):
+    e.catalog.register("li", e.catalog.table("lineitem").withColumns({"big": F.col("l_quantity") > 30, "taxed": F.col("l_tax") > 0.07}))
+    m = [aggregate("many", "big", "count_if"), aggregate("any_", "taxed", "bool_or"), expression("covar", "covar_samp(l_quantity, l_extendedprice)"), aggregate("usual", status, "mode"), aggregate("var", qty, "variance")]
+    return e.frame(from_("li").select([flag], m).build())
+
+
+@query("join_nested", f"SELECT r_name, o_orderstatus, count(*) _contributors_count_ FROM orders JOIN ({_PLACES}) ON o_custkey = c_custkey WHERE r_name <> 'AFRICA' GROUP BY ALL")
+def _(e):
+    # The joined table has joins of its own, which may use columns of all tables before them.
+    nation = M.Join(M.Table("nation"), "inner", criterion("customer.c_nationkey", "nation.n_nationkey"))
+    region = M.Join(M.Table("region"), "inner", criterion("nation.n_regionkey", "region.r_regionkey"))
+    q = from_("orders").join(M.Table("customer", [nation, region])).on(criterion("orders.o_custkey", "customer.c_custkey"))
+    return e.frame(q.where(criterion("region.r_name", neq("AFRICA"))).select(["r_name", "o_orderstatus"], [count_all]).build())
+
+
+@query("parent_ratio_rollup", f"""WITH t AS (SELECT r_name r, n_name n, grouping(r_name) gr, grouping(n_name) gn, sum(c_acctbal) b FROM {_PLACES} GROUP BY ROLLUP (r_name, n_name))
+  SELECT CASE WHEN t.gr = 1 THEN 'Grand Total' ELSE t.r END r_name, CASE WHEN t.gr = 1 THEN 'Grand Total' WHEN t.gn = 1 THEN 'Total' ELSE t.n END n_name, round(t.b / p.b, 9) ratio
+  FROM t JOIN t p ON p.gn = 1 AND (CASE WHEN t.gn = 0 THEN p.gr = 0 AND p.r = t.r ELSE p.gr = 1 END)""", ratio=9)
+def _(e):
+    return e.frame(places().select(ANCESTORS, [compare_parent("ratio", "divide", bal, ANCESTORS)]).rollup(*ANCESTORS).build())
+
+
+@query("custom_comparison", f"""WITH t AS (SELECT r_name, n_name, count(*) n FROM {_PLACES} GROUP BY ALL) SELECT r_name, n_name, CAST(sum(n) OVER (PARTITION BY r_name) % n AS BIGINT) AS rest FROM t""")
+def _(e):
+    m = compare_parent("rest", lambda own, parent: parent % own, count_all, ANCESTORS)
+    return e.frame(places().select(ANCESTORS, [m]).build())
+
+
+@query("group_comparison_first", """WITH t AS (SELECT l_returnflag f, sum(l_quantity) q FROM lineitem GROUP BY ALL), m(basket, f, p) AS (VALUES ('first', 'A', 0), ('first', 'N', 1), ('all', 'N', 0), ('all', 'A', 1), ('all', 'R', 2))
+  SELECT m.basket, t.f l_returnflag, t.q qty, round(t.q / u.q, 9) ratio FROM t JOIN m ON m.f = t.f JOIN m n ON n.basket = m.basket AND n.p = 0 JOIN t u ON u.f = n.f""", ratio=9)
+def _(e):
+    return e.frame(from_("lineitem").select([], [total_qty, compare_group("ratio", "divide", total_qty, {flag: "first"})], GROUPS).build())
+
+
+@query("dimension_next_filtered", """WITH t AS (SELECT o_orderpriority p, count(*) n FROM orders GROUP BY ALL), v AS (SELECT p, n, lead(n) OVER (ORDER BY p) nxt FROM t)
+  SELECT p o_orderpriority, n _contributors_count_, n - nxt diff FROM v WHERE p IN ('2-HIGH', '5-LOW')""")
+def _(e):
+    m = compare_dimension("diff", "absolute_difference", count_all, field("o_orderpriority"), "p+1")
+    return e.frame(from_("orders").where(criterion("o_orderpriority", in_("2-HIGH", "5-LOW"))).select(["o_orderpriority"], [count_all, m]).build())
+
+
+@query("merge_pivot", """WITH a AS (SELECT c_nationkey k, c_mktsegment s, grouping(c_nationkey) gk, grouping(c_mktsegment) gs, count(c_custkey) n FROM customer GROUP BY GROUPING SETS ((), (c_nationkey), (c_mktsegment), (c_nationkey, c_mktsegment))),
+  b AS (SELECT s_nationkey k, grouping(s_nationkey) gk, 1 AS gs, count(s_suppkey) n FROM supplier WHERE s_nationkey > 5 GROUP BY GROUPING SETS ((), (s_nationkey)))
+  SELECT CASE WHEN coalesce(a.gk, b.gk) = 1 THEN 'Grand Total' ELSE CAST(coalesce(a.k, b.k) AS VARCHAR) END c_nationkey, CASE WHEN coalesce(a.gs, b.gs) = 1 THEN 'Grand Total' ELSE a.s END c_mktsegment, a.n customers, b.n suppliers
+  FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k AND a.gk = b.gk AND a.gs = b.gs""")
+def _(e):
+    plain = [M.Query(q.table, q.columns, q.measures, where=q.where) for q in (SALES, SUPPLY)]
+    return e.pivot(M.PivotQuery(M.MergeQuery(plain, ["full"]), [field("c_nationkey")], [field("c_mktsegment")])).frame
+
+
+def _ones(e):
+    day, one = F.to_date("ts").alias("day"), F.when(F.col("value").isNotNull(), 1).otherwise(0).cast("long").alias("one")
+    e.catalog.register("ev", e.catalog.table("events").select("event_type", (F.col("user_id") % 3).alias("part"), day, one))
+    return from_("ev")
+
+
+@query("vector_of_selected_axis", "SELECT event_type, CAST(ts AS DATE) AS day, count(value) v FROM events GROUP BY ALL")
+def _(e):
+    return e.frame(_ones(e).select(["event_type", "day"], [vector("v", "one", "sum", "day")]).build())
+
+
+@query("var_date", """WITH t AS (SELECT event_type, CAST(ts AS DATE) d, count(value) v FROM events GROUP BY ALL), s AS (SELECT event_type, list_sort(list({'v': v, 'd': d})) l FROM t GROUP BY ALL)
+  SELECT event_type, l[1 + CAST(floor(len(l) * (1 - CAST(0.8 AS DOUBLE))) AS INT)].d AS worst FROM s""")
+def _(e):
+    return e.frame(_ones(e).select(["event_type"], [parametrized("worst", "VAR", value=field("one"), date=field("day"), quantile=0.8, **{"return": "date"})]).build())
+
+
+@query("overall_incremental_var", """WITH t AS (SELECT event_type e, user_id % 3 p, CAST(ts AS DATE) d, count(value) v FROM events GROUP BY ALL), g AS (SELECT d, sum(v) v FROM t GROUP BY ALL), a AS (SELECT list_sort(list(v)) l, len(list(v)) n FROM g),
+  w AS (SELECT k.e, k.p, list_sort(list(g.v - coalesce(t.v, 0))) l FROM (SELECT DISTINCT e, p FROM t) k CROSS JOIN g LEFT JOIN t ON t.e = k.e AND t.p = k.p AND t.d = g.d GROUP BY ALL)
+  SELECT e event_type, p AS part, CAST(-(a.l[1 + CAST(floor(n * (1 - CAST(0.9 AS DOUBLE))) AS INT)] - w.l[1 + CAST(floor(n * (1 - CAST(0.9 AS DOUBLE))) AS INT)]) AS BIGINT) change FROM w CROSS JOIN a""")
+def _(e):
+    m = parametrized("change", "OVERALL_INCREMENTAL_VAR", value=field("one"), date=field("day"), quantile=0.9, ancestors=fields("event_type", "part"))
+    return e.frame(_ones(e).select(["event_type", "part"], [m]).build())

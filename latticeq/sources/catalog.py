@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +11,34 @@ from pyspark.sql import types as T
 from ..plans import model as M
 
 
+class _Frames(dict):
+    """Tables by name; one that was given as a function is opened when it is first asked for."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        found = super().__getitem__(name)
+        if not isinstance(found, DataFrame):
+            found = self[name] = found()
+        return found
+
+    def items(self) -> list[tuple[str, DataFrame]]:
+        return [(name, self[name]) for name in self]
+
+
 class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.frames: dict[str, DataFrame] = {}
+        self.frames: Mapping[str, DataFrame] = _Frames()
         self.version = 0
 
     def register(self, name: str, frame: DataFrame) -> None:
         self.frames[name] = frame
         self.version += 1
 
+    def register_later(self, name: str, make: Callable[[], DataFrame]) -> None:
+        """A table that ``make`` opens when a query first needs it, so unused ones cost no listing of files."""
+        self.frames[name] = make
+        self.version += 1
+
     def table(self, name: str) -> DataFrame:
         if name in self.frames:
             return self.frames[name]

@@ -130,7 +130,7 @@ def join(x: dict[str, Any]) -> M.JoinQuery:
 
 def pivot(x: dict[str, Any]) -> M.PivotQuery:
     inner = x["query"]
-    return M.PivotQuery(merge(inner) if "queries" in inner else query(inner), _fields(x["rows"]), _fields(x["columns"]), _fields(x.get("hiddenTotals")), x.get("minify", inner.get("minify")))
+    return M.PivotQuery(merge(inner) if "queries" in inner else query(inner), _fields(x["rows"]), _fields(x["columns"]), _fields(x.get("hiddenTotals")), inner.get("minify") if x.get("minify") is None else x["minify"])
 
 
 # Writing
@@ -203,6 +203,13 @@ def encode(x: Any) -> Any:
         virtual: list[M.VirtualTable] = []
         table = _encode_table(x.table, virtual)
         return {"table": table, "virtualTableDtos": [{"name": v.name, "fields": list(v.fields), "records": [list(r) for r in v.records]} for v in virtual], "columns": [encode(f) for f in x.columns], "rollupColumns": [encode(f) for f in x.rollup], "columnSets": {"GROUP": encode(x.column_set)} if x.column_set else {}, "measures": [encode(m) for m in x.measures], "whereCriteriaDto": encode(x.where), "havingCriteriaDto": encode(x.having), "orders": {json.dumps(encode(f)): encode(o) for f, o in x.orders}, "limit": x.limit, "minify": x.minify, "parameters": {k: {"@class": "QueryCacheParameter", "action": v} if k == "cache" else v for k, v in x.parameters}}
+    if isinstance(x, M.MergeQuery):
+        return {"queries": [encode(q) for q in x.queries], "joinTypes": [j.upper() for j in x.joins], "minify": x.minify}
+    if isinstance(x, M.JoinQuery):
+        joins = [{"type": how.upper(), "joinCriteria": encode(on)} for _, how, on in x.others]
+        return {"queries": [encode(q) for q in (x.first, *(q for q, _, _ in x.others))], "table": {"joins": joins}, "where": encode(x.where), "orders": {json.dumps(encode(f)): encode(o) for f, o in x.orders}, "limit": x.limit}
+    if isinstance(x, M.PivotQuery):
+        return {"query": encode(x.query), "rows": [encode(f) for f in x.rows], "columns": [encode(f) for f in x.columns], "hiddenTotals": [encode(f) for f in x.hidden_totals], "minify": x.minify}
     if isinstance(x, (datetime.date, datetime.datetime)):
         return x.isoformat()
     return x
