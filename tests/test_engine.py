@@ -161,8 +161,8 @@ def test_query_join(engine):
     a = from_("shop").select(["region"], [amount]).build()
     b = from_("shop").where(criterion("region", eq("south"))).select(["region", "item"], [sum_("n", "n")]).build()
     out = engine.join(M.JoinQuery(a, [(b, "left", None)], None, [(field("item"), M.SimpleOrder())]))
-    assert out.columns == ["region", "amount", "item", "n"]
-    assert [tuple(r) for r in out.collect()] == [("north", 8.0, None, None), ("south", 10.0, "ink", 3), ("south", 10.0, "tea", 4)]
+    assert out.columns == ["region", "item", "amount", "n"]
+    assert [tuple(r) for r in out.collect()] == [("north", None, 8.0, None), ("south", "ink", 10.0, 3), ("south", "tea", 10.0, 4)]
     c = from_("plan").select([field("place").as_("region"), "version"], [sum_("n", "n")]).build()
     on = criterion("shop.region", field("plan.place").as_("region"), "<>")
     assert engine.join(M.JoinQuery(a, [(c, "inner", on)], criterion("amount", gt(9)))).count() == 5
