@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .cache import FrameCache
 from .operators import merge, ordering, pivot, queryjoin
+from .plans import describe
 from .plans import model as M
 from .plans.compiler import Compiler
 from .sources import render
@@ -42,6 +43,10 @@ class Result:
     def rows(self) -> list[tuple]:
         return [tuple(r) for r in self.frame.collect()]
 
+    def write(self, path: str, kind: str = "parquet", mode: str = "error", **options: Any) -> None:
+        """The labelled rows as files of any kind that Spark writes; a pivot table's as flat rows."""
+        self.frame.write.format(kind).mode(mode).options(**options).save(path)
+
     def csv(self) -> str:
         grid = self.matrix() if self.axes else [self.names, *self.rows()]
         return render.csv(grid[0], grid[1:])
@@ -135,6 +140,10 @@ class Engine:
         c = self._compiler(q)
         return c.result(order=q.limit > 0, limited=q.limit > 0)
 
+    def explain(self, q: M.Query) -> str:
+        """The scopes that a query is made of: filters, grains and base measures."""
+        return describe.scopes(self._compiler(q))
+
     def pivot(self, p: M.PivotQuery, user: str = "") -> Result:
         if isinstance(p.query, M.MergeQuery):
             return self._merge_pivot(p, user)

@@ -50,3 +50,46 @@ def dependencies(x: Any) -> list[M.Field]:
 
     walk(x)
     return out
+
+
+def criteria_text(x: M.Criteria | M.Condition | None) -> str:
+    if x is None:
+        return "all rows"
+    if isinstance(x, M.Tree):
+        text = f" {x.op} ".join(criteria_text(c) for c in x.children) or "all rows"
+        return f"({text})" if len(x.children) > 1 else text
+    if isinstance(x, M.FieldPair):
+        return f"{_field_text(x.left)} {x.op} {_field_text(x.right)}"
+    if isinstance(x, M.FieldCriterion):
+        return f"{_field_text(x.field)} {criteria_text(x.condition)}"
+    if isinstance(x, M.MeasureCriterion):
+        return f"{x.measure.alias} {criteria_text(x.condition)}"
+    if isinstance(x, M.Compare):
+        return f"{x.op} {x.value!r}"
+    if isinstance(x, M.In):
+        return f"in {list(x.values)!r}"
+    if isinstance(x, M.Not):
+        return f"not ({criteria_text(x.condition)})"
+    if isinstance(x, M.Logical):
+        return "(" + f" {x.op} ".join(criteria_text(c) for c in x.conditions) + ")"
+    return x.kind.replace("_", " ")
+
+
+def _field_text(f: M.Field) -> str:
+    if isinstance(f, M.ConstantField):
+        return repr(f.value)
+    if isinstance(f, M.BinaryField):
+        return f"({_field_text(f.left)} {f.op} {_field_text(f.right)})"
+    return M.output_name(f)
+
+
+def scopes(compiler: Any) -> str:
+    """The aggregations that a compiled query makes, in the order they are needed, then its measures' formulas."""
+    names = [_field_text(f) for f in compiler.dims]
+    lines = []
+    for i, (scope, state) in enumerate(compiler.states.items(), 1):
+        sets = sorted((sorted(s) for s in scope.sets), key=lambda s: (-len(s), s))
+        lines.append(f"scope {i}: {criteria_text(scope.where)}" + (f", having {criteria_text(scope.having)}" if scope.having else ""))
+        lines += [f"  by ({', '.join(names[j] for j in s)})" for s in sets]
+        lines += [f"  {m.alias} = {formula(m)}" for m in state.base]
+    return "\n".join([*lines, "measures:", *[f"  {m.alias} = {formula(m)}" for m in compiler.query.measures]])

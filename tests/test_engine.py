@@ -243,6 +243,18 @@ def test_codec_round_trip_and_service(engine):
     assert describe.formula(divide("d", amount, integer(2))) == "sum(amount) / 2"
 
 
+def test_explain_and_write(engine, tmp_path):
+    places = fields("region", "city")
+    q = from_("shop").where(all_(criterion("city", eq("oslo")), criterion("n", "amount", "<"))).select(places, [amount, compare_parent("r", "divide", amount, places), compare_grand_total("g", "divide", amount)]).build()
+    assert engine.explain(q).splitlines() == [
+        "scope 1: (city = 'oslo' and n < amount)", "  by (region, city)", "  amount = sum(amount)", "scope 2: n < amount", "  by (region, city)", "  by (region)", "  by ()", "  amount = sum(amount)",
+        "scope 3: (city = 'oslo' and n < amount)", "  by ()", "  amount = sum(amount)", "measures:", "  amount = sum(amount)", "  r = amount / amount(reference)", "  g = amount / amount(grand total)",
+    ]
+    engine.query(from_("shop").select(["region"], [amount]).build()).write(str(tmp_path / "out"), "csv", header=True)
+    engine.catalog.load_csv("again", str(tmp_path / "out"), inferSchema=True)
+    assert rows(engine.query(from_("again").select(["region"], [amount]).build())) == [("north", 8.0), ("south", 10.0)]
+
+
 def test_rendering():
     assert render.csv(["a", "b"], [['x"y', 1], ["p,q", None]]) == 'a,b\nx""y,1\n"p,q",null'
     assert render.text(["a"], [[1], [22]]).splitlines()[3:5] == ["|  1 |", "| 22 |"]
