@@ -42,6 +42,29 @@ def held_out(key: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+class Trace:
+    """What a window's forward pass leaves for the backward one: (steps, units, lanes)."""
+
+    def __init__(self, steps: int, lanes: int):
+        self.h0, self.rh = np.empty((2, steps, HIDDEN, lanes), np.float32)
+        self.gates: np.ndarray | None = None
+
+
+def _softmax(logits: np.ndarray, pick: np.ndarray, grads: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each row's ``pick`` and, with ``grads``, the probabilities less one at the pick."""
+    rows = np.arange(len(logits))
+    if len(logits) and max(logits.max(), -logits.min()) > 60:
+        logits -= logits.max(1, keepdims=True)
+    out = logits[rows, pick]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    out -= np.log(total)
+    if grads:
+        logits *= (1 / total)[:, None]
+        logits[rows, pick] -= 1
+    return out, logits
+
+
 class Gru:
     """Parameters, forward windows and one training step."""
 
@@ -68,93 +91,120 @@ class Gru:
         self.bw[:] = np.log(c + 0.5).reshape(-1, MEMBERS)
         return self
 
-    def forward(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each step of a window (steps, lanes); ``keep`` is 0 where a lane starts afresh."""
+    def forward(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: Trace | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States after each step of a window (steps, lanes); ``keep`` is 0 where a lane starts afresh.
+
+        Inside, lanes are the last axis, so that gates are contiguous blocks; ``h`` is (lanes, units) outside.
+        """
         n = HIDDEN
-        a = self.e[x]
-        out = np.empty((*x.shape, n), np.float32)
-        ug, uc = np.ascontiguousarray(self.u[:, : 2 * n]), np.ascontiguousarray(self.u[:, 2 * n :])
+        a = np.ascontiguousarray(self.e[x].transpose(0, 2, 1))
+        out = np.empty((len(x), n, x.shape[1]), np.float32)
+        ug, uc = np.ascontiguousarray(self.u[:, : 2 * n].T), np.ascontiguousarray(self.u[:, 2 * n :].T)
+        h = np.ascontiguousarray(h.T)
         for t in range(len(x)):
-            h0 = h * keep[t][:, None]
-            g = 1 / (1 + np.exp(-(a[t, :, : 2 * n] + h0 @ ug)))
-            z, r = g[:, :n], g[:, n:]
-            rh = r * h0
-            c = np.tanh(a[t, :, 2 * n :] + rh @ uc)
-            h = h0 + z * (c - h0)
-            out[t] = h
+            h0 = h * keep[t]
+            g = a[t, : 2 * n]
+            g += ug @ h0
+            np.negative(g, out=g)
+            with np.errstate(over="ignore"):
+                np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            rh = g[n:] * h0
+            c = a[t, 2 * n :]
+            c += uc @ rh
+            np.tanh(c, out=c)
+            h = out[t]
+            np.subtract(c, h0, out=h)
+            h *= g[:n]
+            h += h0
             if trace is not None:
-                trace.append((h0, g, rh, c))
-        return out, h
+                trace.h0[t], trace.rh[t] = h0, rh
+        if trace is not None:
+            trace.gates = a
+        return np.ascontiguousarray(out.transpose(0, 2, 1)), h.T
 
     def log_probs(self, states: np.ndarray, y: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Natural log probability of slots ``y`` after ``states``; with ``grads`` also their gradients."""
         k = np.minimum(y // MEMBERS, CLASSES - 1)
-        logits = states @ self.wc + self.bc
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
-        rows = np.arange(len(y))
-        out = logits[rows, k] - np.log(total[:, 0])
-        if grads is not None:
-            p /= total
-            p[rows, k] -= 1
-            grads["wc"], grads["bc"] = states.T @ p, p.sum(0)
-            grads["h"] = p @ self.wc.T
-            grads["ww"], grads["bw"] = np.zeros_like(self.ww), np.zeros_like(self.bw)
         order = np.argsort(k, kind="stable")
         cuts = np.searchsorted(k[order], np.arange(CLASSES))
-        for c in range(CLASSES - 1):
-            own = order[cuts[c] : cuts[c + 1]]
-            if not len(own):
-                continue
-            s, member = states[own], y[own] - c * MEMBERS
-            inner = s @ self.ww[c] + self.bw[c]
-            inner -= inner.max(1, keepdims=True)
-            q = np.exp(inner)
-            total = q.sum(1, keepdims=True)
-            at = np.arange(len(own))
-            out[own] += inner[at, member] - np.log(total[:, 0])
-            if grads is not None:
-                q /= total
-                q[at, member] -= 1
-                grads["ww"][c], grads["bw"][c] = s.T @ q, q.sum(0)
-                grads["h"][own] += q @ self.ww[c].T
+        k, s = k[order], np.ones((len(y), HIDDEN + 1), np.float32)
+        s[:, :HIDDEN] = states[order]
+        wc = np.concatenate([self.wc, self.bc[None]])
+        value, p = _softmax(s @ wc, k, grads is not None)
+        # All rows of a class stand together: one product for each class, everything else at once.
+        some, member = cuts[-1], y[order][: cuts[-1]] % MEMBERS
+        ww = np.concatenate([self.ww, self.bw[:, None]], 1)
+        inner = np.empty((some, MEMBERS), np.float32)
+        full = [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES - 1) if cuts[c] < cuts[c + 1]]
+        for c, own in full:
+            np.matmul(s[own], ww[c], out=inner[own])
+        more, q = _softmax(inner, member, grads is not None)
+        value[:some] += more
+        out = np.empty(len(y), np.float32)
+        out[order] = value
+        if grads is not None:
+            both = s.T @ p
+            grads["wc"], grads["bc"] = both[:HIDDEN], both[HIDDEN]
+            dh = p @ self.wc.T
+            both = np.zeros_like(ww)
+            for c, own in full:
+                np.matmul(s[own].T, q[own], out=both[c])
+                dh[own] += q[own] @ self.ww[c].T
+            grads["ww"], grads["bw"] = both[:, :HIDDEN], both[:, HIDDEN]
+            grads["h"] = np.empty_like(dh)
+            grads["h"][order] = dh
         return out
 
+    def _update(self, name: str, at: np.ndarray | slice, grad: np.ndarray, rate: float) -> None:
+        """Adagrad."""
+        if name not in self.seen:
+            self.seen[name] = np.full_like(getattr(self, name), 1e-6)
+        seen = self.seen[name][at] + grad * grad
+        self.seen[name][at] = seen
+        getattr(self, name)[at] -= rate * grad / np.sqrt(seen)
+
     def step(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h: np.ndarray, rate: float) -> tuple[float, np.ndarray]:
         """One window of truncated backpropagation and an Adagrad update; mean log probability, last state."""
-        n, trace = HIDDEN, []
+        n, trace = HIDDEN, Trace(*x.shape)
         states, last = self.forward(x, keep, h, trace)
         grads: dict = {}
         lp = self.log_probs(states.reshape(-1, n), y.reshape(-1), grads)
         scale = np.float32(1 / len(lp))
-        dh_out = grads.pop("h").reshape(*x.shape, n)
-        ug, uc = self.u[:, : 2 * n], self.u[:, 2 * n :]
-        du, da = np.zeros_like(self.u), np.empty((*x.shape, 3 * n), np.float32)
-        dh = np.zeros_like(h)
+        dh_out = np.ascontiguousarray(grads.pop("h").reshape(*x.shape, n).transpose(0, 2, 1))
+        ug, uc = np.ascontiguousarray(self.u[:, : 2 * n]), np.ascontiguousarray(self.u[:, 2 * n :])
+        da = np.empty_like(trace.gates)
+        dh = np.zeros((n, x.shape[1]), np.float32)
+        gates, ends = trace.gates, 1 - trace.gates[:, : 2 * n]
+        ends *= gates[:, : 2 * n]
         for t in range(len(x) - 1, -1, -1):
-            h0, g, rh, c = trace[t]
-            z, r = g[:, :n], g[:, n:]
-            dh = dh + dh_out[t]
-            dc = dh * z * (1 - c * c)
-            drh = dc @ uc.T
-            dg = np.concatenate([dh * (c - h0), drh * h0], 1) * g * (1 - g)
-            da[t, :, : 2 * n], da[t, :, 2 * n :] = dg, dc
-            du[:, : 2 * n] += h0.T @ dg
-            du[:, 2 * n :] += rh.T @ dc
-            dh = (dh * (1 - z) + drh * r + dg @ ug.T) * keep[t][:, None]
-        grads["u"] = du
+            z, r, c = gates[t, :n], gates[t, n : 2 * n], gates[t, 2 * n :]
+            dh += dh_out[t]
+            dc = da[t, 2 * n :]
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= z
+            dc *= dh
+            drh = uc @ dc
+            dg = da[t, : 2 * n]
+            np.subtract(c, trace.h0[t], out=dg[:n])
+            dg[:n] *= dh
+            np.multiply(drh, trace.h0[t], out=dg[n:])
+            dg *= ends[t]
+            drh *= r
+            dh *= 1 - z
+            dh += drh
+            dh += ug @ dg
+            dh *= keep[t]
+        da = np.ascontiguousarray(da.transpose(0, 2, 1)).reshape(-1, 3 * n)
+        flat = lambda v: v.transpose(1, 0, 2).reshape(n, -1)
+        grads["u"] = np.concatenate([flat(trace.h0) @ da[:, : 2 * n], flat(trace.rh) @ da[:, 2 * n :]], 1)
         for name, grad in grads.items():
-            grad = np.clip(grad * scale, -1, 1)
-            seen = self.seen.setdefault(name, np.full_like(grad, 1e-6))
-            seen += grad * grad
-            getattr(self, name)[...] -= rate * grad / np.sqrt(seen)
+            self._update(name, slice(None), np.clip(grad * scale, -1, 1), rate)
         order = np.argsort(x.reshape(-1), kind="stable")
         slots, first = np.unique(x.reshape(-1)[order], return_index=True)
-        grad = np.add.reduceat(da.reshape(-1, 3 * n)[order], first, axis=0) * scale
-        seen = self.seen.setdefault("e", np.full_like(self.e, 1e-6))
-        seen[slots] += grad * grad
-        self.e[slots] -= rate * grad / np.sqrt(seen[slots])
+        self._update("e", slots, np.add.reduceat(da[order], first, axis=0) * scale, rate)
         return float(lp.mean()), last
 
     def learn(self, stream: np.ndarray, end: int, lanes: int, steps: int = 20, rate: float = 0.05) -> float:
@@ -202,15 +252,19 @@ class Gru:
                 owner[lane, at : at + sizes[d]] = d
                 fresh[lane, at : at + 1] = True
                 at += sizes[d]
-        y, owner, keep = y.T, owner.T, (~fresh.T).astype(np.float32)
+        # Lanes by falling length: a window has those only that still hold tokens.
+        ends = most - room
+        lane = np.argsort(-ends, kind="stable")
+        ends, y, owner, keep = ends[lane], y[lane].T, owner[lane].T, (~fresh[lane].T).astype(np.float32)
         before = np.concatenate([np.full((1, lanes), end, np.int32), y[:-1]])
         before = np.where(keep == 0, end, before)
         h, out = np.zeros((lanes, HIDDEN), np.float32), np.zeros(len(documents))
         for t in range(0, length, steps):
-            states, h = self.forward(before[t : t + steps], keep[t : t + steps], h)
-            own = owner[t : t + steps].reshape(-1)
+            n = int(np.searchsorted(-ends, -t, side="left"))
+            states, h = self.forward(before[t : t + steps, :n], keep[t : t + steps, :n], h[:n])
+            own = owner[t : t + steps, :n].reshape(-1)
             real = np.flatnonzero(own >= 0)
-            lp = self.log_probs(states.reshape(-1, HIDDEN)[real], y[t : t + steps].reshape(-1)[real])
+            lp = self.log_probs(states.reshape(-1, HIDDEN)[real], y[t : t + steps, :n].reshape(-1)[real])
             out += np.bincount(own[real], weights=lp * LOG10, minlength=len(documents))
         return out
 
