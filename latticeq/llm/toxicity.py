@@ -106,6 +106,15 @@ def _bits(vocabulary: np.ndarray) -> np.ndarray:
     return bits
 
 
+def _row_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``values``, one for each of ``lengths``."""
+    out = np.zeros(len(lengths))
+    full = np.flatnonzero(lengths)
+    if len(full):
+        out[full] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[full])
+    return out
+
+
 @dataclass
 class Linear:
     """Logistic regression over sparse rows, plus weights for earlier categories' log-odds."""
@@ -119,7 +128,10 @@ class Linear:
 
     @classmethod
     def fit(cls, row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int, m: int, earlier: np.ndarray, label: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 3e-4) -> Linear:
-        """Adam over all rows at once; a category without both classes gets its share as constant."""
+        """Adam over all rows at once; a category without both classes gets its share as constant.
+
+        ``row`` ascends, so that a row's entries stand together.
+        """
         pos = label.mean() if n else 0.0
         out = cls(float(np.clip(np.log((pos + 1e-6) / (1 - pos + 1e-6)), -14, 14)), np.zeros(m), np.zeros(earlier.shape[1]))
         if not 0 < pos < 1:
@@ -127,10 +139,11 @@ class Linear:
         theta = np.concatenate([[out.bias], out.earlier, out.weights])
         first, second = np.zeros_like(theta), np.zeros_like(theta)
         cut = 1 + earlier.shape[1]
+        lengths = np.bincount(row, minlength=n)
         for step in range(1, steps + 1):
-            z = theta[0] + earlier @ theta[1:cut] + np.bincount(row, weights=theta[cut:][feature] * value, minlength=n)
+            z = theta[0] + earlier @ theta[1:cut] + _row_sums(np.take(theta[cut:], feature) * value, lengths)
             off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) / n
-            grad = np.concatenate([[off.sum()], off @ earlier, np.bincount(feature, weights=off[row] * value, minlength=m)])
+            grad = np.concatenate([[off.sum()], off @ earlier, np.bincount(feature, weights=np.repeat(off, lengths) * value, minlength=m)])
             grad[1:] += decay * theta[1:]
             first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
             theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -186,7 +199,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: list[tuple[str, F
         return Chain(names, vocabulary, [Linear(-14.0, np.zeros(m), np.zeros(c)) for c in range(len(names))], 1.0)
     lists = data.column("f").combine_chunks() if isinstance(data.column("f"), pa.ChunkedArray) else data.column("f")
     row = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
-    feature = lists.flatten().to_numpy()
+    feature = lists.flatten().to_numpy().astype(np.int64)
     value = (data.column("v").combine_chunks() if isinstance(data.column("v"), pa.ChunkedArray) else data.column("v")).flatten().to_numpy()
     fold = np.arange(n) % FOLDS
     models, odds = [], np.zeros((n, 0))
