@@ -11,6 +11,7 @@ over the selected features of that sample. Scoring is one pass over all document
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .common import stored
+from .common import discard, stored
 
 #: Bytes of the word beginnings that are features besides whole words.
 PREFIXES = (6, 7, 8, 9, 10)
 FOLDS = 4
+LEAST_Z = (2.5, 3.0, 3.5, 4.0, 4.5, 5.0)
 _MASK = (1 << 20) - 1
 
 
@@ -46,8 +48,12 @@ def _features(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np
             yield rows[which], hashes
 
 
-def selected(sample: DataFrame, categories: list[str], most: int, least_rows: int = 4) -> np.ndarray:
-    """Feature hashes, sorted: for each category the ``most`` with the largest |z| of their log-odds, over 3."""
+def selected(sample: DataFrame, categories: list[str], most: int, least_rows: int = 4, most_false: float = 0.2) -> np.ndarray:
+    """Feature hashes, sorted: for each category the ``most`` with the largest |z| of their log-odds.
+
+    The bound on |z| is the least of ``LEAST_Z`` over which at most a share ``most_false`` is due to chance,
+    by the number of all features: more features without any bearing ask for a higher one.
+    """
     k = len(categories)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,6 +73,7 @@ def selected(sample: DataFrame, categories: list[str], most: int, least_rows: in
     totals = sample.agg(F.count(F.lit(1)), *[F.sum(F.col(f"`{c}`").cast("long")) for c in categories]).first()
     counts = sample.select("text", *categories).mapInArrow(run, ", ".join(["f long", "n long", *[f"p{c} long" for c in range(k)]]))
     counts = counts.groupBy("f").agg(*[F.sum(c).alias(c) for c in counts.columns[1:]]).where(F.col("n") >= least_rows)
+    counts = stored(counts, "features")
     found = []
     for c in range(k):
         rows, pos = totals[0] or 0, totals[1 + c] or 0
@@ -74,8 +81,12 @@ def selected(sample: DataFrame, categories: list[str], most: int, least_rows: in
             continue
         a, b = F.col(f"p{c}") + 0.5, F.col("n") - F.col(f"p{c}") + 0.5
         z = (F.log(a / (pos - a + 1)) - F.log(b / (rows - pos - b + 1))) / F.sqrt(1 / a + 1 / b)
-        top = counts.select("f", F.abs(z).alias("z")).where("z > 3").orderBy(F.desc("z"), "f").limit(most)
+        scored = counts.select("f", F.abs(z).alias("z"))
+        every, *over = scored.agg(F.count(F.lit(1)), *[F.count(F.when(F.col("z") > x, 1)) for x in LEAST_Z]).first()
+        bound = next((x for x, n in zip(LEAST_Z, over, strict=True) if every * math.erfc(x / math.sqrt(2)) <= most_false * n), LEAST_Z[-1])
+        top = scored.where(F.col("z") > bound).orderBy(F.desc("z"), "f").limit(most)
         found += [r[0] for r in top.collect()]
+    discard(counts)
     return np.unique(np.array(found, np.int64).view(np.uint64))
 
 
@@ -128,7 +139,7 @@ class Linear:
 
     @classmethod
     def fit(cls, row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int, m: int, earlier: np.ndarray, label: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 3e-4) -> Linear:
-        """Adam over all rows at once; a category without both classes gets its share as constant.
+        """Adam over all rows at once, at a rate that falls to nothing, so that the last steps settle; a category without both classes gets its share as constant.
 
         ``row`` ascends, so that a row's entries stand together.
         """
@@ -146,7 +157,7 @@ class Linear:
             grad = np.concatenate([[off.sum()], off @ earlier, np.bincount(feature, weights=np.repeat(off, lengths) * value, minlength=m)])
             grad[1:] += decay * theta[1:]
             first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-            theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+            theta = theta - rate * (1 - (step - 1) / steps) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         return cls(float(theta[0]), theta[cut:], theta[1:cut])
 
 
@@ -164,13 +175,13 @@ class Chain:
         return 1 / (1 + np.exp(-odds))
 
 
-def train(documents: DataFrame, labels: DataFrame, categories: list[tuple[str, F.Column]], most_rows: int = 20_000, most_features: int = 1500, key: str = "doc_id", text: str = "text") -> Chain:
+def train(documents: DataFrame, labels: DataFrame, categories: list[tuple[str, F.Column]], most_rows: int = 20_000, most_features: int = 1500, least_precision: float = 0.7, key: str = "doc_id", text: str = "text") -> Chain:
     """A chain for ``categories`` (name, boolean expression over labels), the last of which is the verdict.
 
     At most ``most_rows`` labelled rows are used, those with the least hash of their id; ids that are
     null, and rows where a category is null, are left out; a repeated id counts once, with the greatest
     of its labels and one of its texts. The threshold is where out-of-fold predictions of the last category
-    have the best F1.
+    have the best F1 among those with ``least_precision``: labels that texts don't explain reject nothing.
     """
     names = [n for n, _ in categories]
     wanted = labels.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("id"), *[e.cast("int").alias(n) for n, e in categories])
@@ -218,6 +229,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: list[tuple[str, F
     order = np.argsort(-odds[:, -1], kind="stable")
     hit = np.cumsum(label[order])
     f1 = 2 * hit / (np.arange(1, n + 1) + label.sum()) if label.sum() else np.zeros(n)
+    f1[hit < least_precision * np.arange(1, n + 1)] = 0
     at = int(np.argmax(f1))
     cut = odds[order[at], -1] if f1[at] > 0 else np.inf
     below = odds[order[at + 1], -1] if at + 1 < n and np.isfinite(cut) else cut
