@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:access_?key_?id|client_?id|account_?id|key_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.I | re.A)
-_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 _ENDPOINT = re.compile(r"""[a-z][a-z0-9+.]{1,15}://[^\s"'<>]{3,200}""")
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -55,13 +56,13 @@ class _Near:
 
     def __init__(self, spans: list[tuple[int, int]], scopes: list[int], reach: int):
         self.spans, self.scopes, self.reach = sorted(spans), scopes, reach
-        self.longest = max((e - s for s, e in spans), default=0)
+        self.ends = list(accumulate((e for _, e in self.spans), max))
 
     def __call__(self, start: int, end: int) -> bool:
         scope = bisect_left(self.scopes, start + 1)
         lo = max(start - self.reach, self.scopes[scope - 1] if scope else 0)
         hi = min(end + self.reach, self.scopes[scope] if scope < len(self.scopes) else end + self.reach)
-        at = bisect_left(self.spans, (lo - self.longest, 0))
+        at = bisect_right(self.ends, lo)  # all before end at lo or earlier
         while at < len(self.spans) and self.spans[at][0] < hi:
             if self.spans[at][1] > lo and self.spans[at] != (start, end):
                 return True
