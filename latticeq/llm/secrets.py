@@ -28,9 +28,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 # Runs of one class: asking for the least length finds the same runs as finding all and dropping short ones.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:access_?key_?id|client_?id|account_?id|key_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.I | re.A)
+_IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:access_?key_?id|client_?id|account_?id|key_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
 _KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
-_ENDPOINT = re.compile(r"""[a-z][a-z0-9+.]{1,15}://[^\s"'<>]{3,200}""")
+_ENDPOINT = re.compile(r"""[a-z][a-z0-9+.]{1,15}://[^\s"'<>]{3,}""")
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 Span = tuple[int, int, int]

@@ -77,6 +77,15 @@ def test_keys_behind_equals_signs_and_of_any_length(spark):
     assert clean == {0: "AWS_[REDACTED]\nAWS_SECRET_ACCESS_KEY=[REDACTED]", 1: "[REDACTED]\nkey: [REDACTED]"}
 
 
+def test_long_endpoints_and_identifiers_end_where_their_runs_end(spark):
+    url, name = "https://db.example/x?signature=" + "z" * 300, "n" * 90
+    text = f"login: {name}\n{KEY}\n{url} end"
+    df = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    at = text.index(url)
+    assert secrets.scan(df).first().spans == f"identifier:0:97,key:98:122,endpoint:{at}:{at + len(url)}"
+    assert secrets.redact(df).first().text == "[REDACTED]\n[REDACTED]\n[REDACTED] end"
+
+
 def test_one_long_key_keeps_lookups_short():
     class Counted(list):
         asked = 0
