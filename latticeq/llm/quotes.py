@@ -1,9 +1,9 @@
 """Quotation linking in conversations, with DataFrame functions only.
 
 Each message's lines are parsed for nested quote markers (``>``, any number, blanks between). Runs of
-lines of one level are passages; they and their paragraphs and lines, normalised and hashed, are joined
-within the conversation to the messages that first wrote them as text of their own. A message replies to
-the origin of its outermost linked passage. Following replies up gives each message its path from the
+lines of one level are passages; they and their paragraphs, lines and sentences, normalised and hashed, are
+joined within the conversation to the messages that first wrote them as text of their own. A message replies
+to the origin of its outermost linked passage. Following replies up gives each message its path from the
 first message of its thread; sorted by path, a conversation stands in reply order, without quotes.
 """
 
@@ -16,7 +16,9 @@ from .common import stored
 
 _MARKS = r"^(?:[ \t]*>)+"
 _WROTE = r"(?i)^\s*(?:on|am|le|el)\b.{0,300}:\s*$"
-#: A paragraph or line of fewer words links only where it is the whole passage.
+#: Sentences end at . ! ? or an ellipsis, with closing quotes and brackets, before a blank or a line's end.
+_SENTENCE = r"(?<=[.!?\u2026][\"'\u2019\u201d\u00bb)\]]{0,3})\s+"
+#: A paragraph, line or sentence of fewer words links only where it is the whole passage.
 LEAST_WORDS = 3
 
 
@@ -25,8 +27,9 @@ def _normal(text: Column) -> Column:
 
 
 def _units(passage: Column) -> Column:
-    """The passage as a whole, its paragraphs and its lines, normalised, without empty and short ones."""
-    parts = F.concat(F.split(passage, r"\n\s*\n"), F.split(passage, "\n"))
+    """The passage as a whole, its paragraphs, its lines and the sentences of both, normalised, without empty and short ones."""
+    parts = F.array_distinct(F.concat(F.split(passage, r"\n\s*\n"), F.split(passage, "\n")))
+    parts = F.array_distinct(F.concat(parts, F.flatten(F.transform(parts, lambda u: F.split(u, _SENTENCE)))))
     parts = F.filter(F.transform(parts, _normal), lambda u: F.size(F.split(u, " ")) >= LEAST_WORDS)
     whole = F.filter(F.array(_normal(passage)), lambda u: u != "")
     return F.array_distinct(F.concat(whole, parts))

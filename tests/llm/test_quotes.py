@@ -109,5 +109,19 @@ def test_reply_order_and_levels(spark):
     assert [(r.turn, r.body, r.reply_to, r.max_level) for r in got] == [(0, "First question here?", None, 0), (2, "Answer to the first.", 0, 1), (4, "Thanks a lot.", 2, 2), (1, "Second question here?", None, 0), (3, "Answer to the second.", 1, 1)]
 
 
+def test_sentences_quoted_out_of_paragraphs(spark):
+    rows = [
+        (1, 0, "user", "I like cats. I also like small dogs."),
+        (1, 1, "assistant", "> I also like small dogs.\nSo do I."),
+        (2, 0, "user", "A list\nIt holds 3.5 kilos of tea. She said \"We drink it all!\" Nobody\nbelieved a word of it... Was that right?"),
+        (2, 1, "assistant", "> Nobody believed\n> a word of it...\nI did."),
+        (2, 2, "assistant", "> It holds 3.5 kilos of tea.\nMuch."),
+        (2, 3, "assistant", "> She said \"We drink it all!\" Nobody believed a word of it...\nWell."),
+        (2, 4, "assistant", "> holds 3.5 kilos\nNo sentence."),
+    ]
+    got = {(r.conv_id, r.turn): (r.n_linked, r.reply_to) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(1, 0): (0, None), (1, 1): (1, 0), (2, 0): (0, None), (2, 1): (1, 0), (2, 2): (1, 0), (2, 3): (1, 0), (2, 4): (0, None)}
+
+
 def test_nothing(spark):
     assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
