@@ -183,7 +183,7 @@ class Engine:
 
     def join(self, q: M.JoinQuery) -> DataFrame:
         plain = lambda x: self._compiler(replace(x, limit=-1)).result(order=False, limited=False, labels=False)
-        return queryjoin.joined(plain, q, self.limit or 10_000)
+        return queryjoin.joined(plain, q, self.limit)
 
     def sql(self, text: str) -> DataFrame:
         """Raw SQL over the catalog's tables; those whose names stand in ``text`` become views of this session."""

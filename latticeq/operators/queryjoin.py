@@ -12,8 +12,8 @@ from ..plans import model as M
 from . import criteria, ordering
 
 
-def joined(compile_, q: M.JoinQuery, default_limit: int) -> DataFrame:
-    """``compile_`` gives a query's unordered, unlimited result.
+def joined(compile_, q: M.JoinQuery, default_limit: int | None) -> DataFrame:
+    """``compile_`` gives a query's unordered, unlimited result. Without any limit all rows are given.
 
     Without a condition two sides join null-safe on the names they share, and cross where they share none.
     All queries' columns come first, then all measures. Names that an earlier query has are dropped from
@@ -56,7 +56,8 @@ def joined(compile_, q: M.JoinQuery, default_limit: int) -> DataFrame:
         rows = rows.where(where)
     if q.orders:
         rows = rows.orderBy(*[k for f, order in q.orders for k in ordering.order_keys(order, column(f), None)])
-    rows = rows.limit(q.limit if q.limit > 0 else default_limit)
+    if limit := q.limit if q.limit > 0 else default_limit:
+        rows = rows.limit(limit)
     out = [(n, c) for n, c in shown.items() if c not in compared] + list(values.items())
     return rows.select(*[F.col(c) for _, c in out]).toDF(*[n for n, _ in out])
 

@@ -168,6 +168,19 @@ def test_query_join(engine):
     assert engine.join(M.JoinQuery(a, [(c, "inner", on)], criterion("amount", gt(9)))).count() == 5
 
 
+def test_query_join_without_limit_gives_all_rows(spark):
+    engine = Engine(spark, limit=None)
+    engine.catalog.register("many", spark.range(10_050).withColumnRenamed("id", "k"))
+    engine.catalog.register("more", spark.range(10_050).withColumnRenamed("id", "k"))
+    sides = [from_(t).select(["k"], [sum_(f"{t}_sum", "k")]).build() for t in ("many", "more")]
+    q = M.JoinQuery(sides[0], [(sides[1], "inner", None)])
+    assert engine.join(q).count() == 10_050
+    engine.limit = 10_000
+    assert engine.join(q).count() == 10_000
+    engine.limit = None
+    assert engine.join(M.JoinQuery(sides[0], [(sides[1], "inner", None)], None, [(field("k"), M.SimpleOrder())], 7)).count() == 7
+
+
 def test_pivot(engine):
     q = from_("shop").select(["region", "item"], [amount, compare_parent_of_axis("p", "divide", amount, "row")]).build()
     result = engine.pivot(M.PivotQuery(q, fields("region"), fields("item")))
