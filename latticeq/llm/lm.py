@@ -210,18 +210,30 @@ class Gru:
     def learn(self, stream: np.ndarray, end: int, lanes: int, steps: int = 20, rate: float = 0.05) -> float:
         """One pass over a stream of slots, documents ended by ``end``, cut into lanes; mean log probability."""
         lanes = max(1, min(lanes, len(stream) // steps))
-        length = len(stream) // lanes
-        if not length:
+        length, more = divmod(len(stream), lanes)
+        if not len(stream):
             return 0.0
-        y = stream[: lanes * length].reshape(lanes, length).T
-        before = np.concatenate([[end], stream])[: lanes * length].reshape(lanes, length).T
-        keep = (before != end).astype(np.float32)
-        keep[0] = 0
+        # The first lanes have a token more, so that all are learnt: a last row is of those lanes only, and its
+        # update is as much smaller as the row is narrower.
+        starts = np.arange(lanes) * length + np.minimum(np.arange(lanes), more)
+        place = starts + np.arange(length)[:, None]
+        before = np.concatenate([[end], stream[:-1]])
         h, total = np.zeros((lanes, HIDDEN), np.float32), 0.0
+
+        def window(at: np.ndarray, h: np.ndarray, first: bool) -> np.ndarray:
+            nonlocal total
+            keep = (before[at] != end).astype(np.float32)
+            if first:
+                keep[0] = 0
+            lp, h = self.step(before[at], stream[at], keep, h, rate * min(1.0, at.size / lanes))
+            total += lp * at.size
+            return h
+
         for t in range(0, length, steps):
-            lp, h = self.step(before[t : t + steps], y[t : t + steps], keep[t : t + steps], h, rate)
-            total += lp * len(y[t : t + steps])
-        return total / length
+            h = window(place[t : t + steps], h, t == 0)
+        if more:
+            window((starts[:more] + length)[None], h[:more], False)
+        return total / len(stream)
 
     def score(self, documents: list[np.ndarray], end: int, lanes: int = 192, steps: int = 32) -> np.ndarray:
         """Log10 probability of the slots of each document, state carried from its start to its end.
@@ -385,7 +397,7 @@ def train(documents: DataFrame, words: Vocabulary, text: str = "text", key: str
     warm = documents.where(order < int(share * 1_000_000) + 1).select(text).limit(2 * warm_rows).mapInArrow(slots, "s array<int>").toArrow()
     stream = warm.column("s").combine_chunks().flatten().to_numpy() if warm.num_rows else np.zeros(0, np.int32)
     for _ in range(warm_passes):
-        model.learn(stream[:4_000_000], end, 64)
+        model.learn(stream, end, 64)
     start = spark.sparkContext.broadcast(model.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

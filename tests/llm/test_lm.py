@@ -49,6 +49,22 @@ def test_state_is_carried_through_whole_documents():
         assert got == pytest.approx([probability_of(model, d, end) for d in documents], rel=1e-4)
 
 
+def test_every_token_is_learnt_once(monkeypatch):
+    rng, end, seen = np.random.default_rng(4), 5, Counter()
+    step = lm.Gru.step
+
+    def watched(self, x, y, *rest):
+        seen.update(zip(x.ravel().tolist(), y.ravel().tolist(), strict=True))
+        return step(self, x, y, *rest)
+
+    monkeypatch.setattr(lm.Gru, "step", watched)
+    for n in (0, 1, 19, 5119, 7000, 5120):
+        stream = rng.integers(0, lm.SLOTS + 1, n).astype(np.int32)
+        seen.clear()
+        found = lm.Gru().learn(stream, end, 256)
+        assert seen == Counter(zip([end, *stream[:-1].tolist()], stream.tolist(), strict=False)) and math.isfinite(found)
+
+
 def test_probabilities_add_up_to_one():
     model = grown(3)
     states = np.random.default_rng(0).normal(size=(1, lm.HIDDEN)).astype(np.float32)
