@@ -219,7 +219,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "archives")
-    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    # Segments are smaller than ordinary pages, so that long payloads take the way through continuation records.
+    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, segment_bytes=4096)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

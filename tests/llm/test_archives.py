@@ -79,3 +79,14 @@ def test_damage_is_reported(spark, tmp_path):
     got = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
     assert {i: r.problem for i, r in got.items()} == {1: None, 2: "segments", 3: "segments", 4: "digest", 5: "framing"}
     assert got[1].payload_digest == digest and got[2].payload_digest is None
+
+
+def test_registered_query_writes_continuations(spark, tmp_path, monkeypatch):
+    html = "".join(f"<p>{i} é</p>" for i in range(900))
+    spark.createDataFrame([(1, "u", html), (2, "v", "short")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    path = scratch(spark, "archives")
+    monkeypatch.setattr(warc, "scratch", lambda *_: path)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.query(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for i, h in ((1, html), (2, "short"))}
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()
+    assert sum(gzip.decompress(r.content).lower().count(b"warc-type: continuation") for r in files) >= 2
