@@ -2,7 +2,8 @@
 
 Words are maximal runs of bytes outside a separator class. All classes used here are ASCII, so a
 UTF-8 character is never cut. A word's hash is a polynomial over random 64-bit byte codes, mixed by
-a finaliser; A-Z may be folded to a-z by giving both the same code.
+a finaliser; A-Z may be folded to a-z by giving both the same code. Bytes are worked through in blocks,
+so a long text takes what its words do (24 bytes each), not the work arrays of all its bytes at once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20
+#: Bytes that are split and hashed at once.
+BLOCK_BYTES = 1 << 18
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -80,45 +83,88 @@ class Words:
     ends: np.ndarray
     hashes: np.ndarray
     rows: np.ndarray
-    running: np.ndarray | None = None
+    data: np.ndarray | None = None
+    codes: np.ndarray | None = None
 
     def prefix_hashes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the first ``length`` bytes of all words that are longer, and those words' indexes."""
         longer = np.flatnonzero(self.ends - self.starts > length)
-        at = self.starts[longer]
-        return mix((self.running[at + length] - self.running[at]) ^ np.uint64(length * 0x9E3779B1)), longer
+        at, powers = self.starts[longer], _powers(length)
+        total = np.zeros(len(longer), np.uint64)
+        for j in range(length):
+            total += self.codes[self.data[at + j]] * powers[j]
+        return mix(total ^ np.uint64(length * 0x9E3779B1)), longer
 
 
-def words(data: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACES, codes: np.ndarray = EXACT_CODES, running: bool = False) -> Words:
-    """Splits rows, given as bytes and offsets, into hashed words."""
-    n = len(data)
+def _long_word(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The hash of one word of many bytes, added up in blocks."""
+    powers, scale, total = _powers(BLOCK_BYTES)[:BLOCK_BYTES], np.ones(1, np.uint64), np.zeros(1, np.uint64)
+    for lo in range(0, len(data), BLOCK_BYTES):
+        part = data[lo : lo + BLOCK_BYTES]
+        total += (codes[part] * powers[: len(part)]).sum(dtype=np.uint64) * scale
+        scale = scale * powers[-1]
+    return mix(total ^ np.uint64(len(data)))
+
+
+def _split(data: np.ndarray, edges: np.ndarray, separators: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of one block; words also end at ``edges``."""
     inside = ~separators[data]
     begins = inside.copy()
-    if n:
-        begins[1:] &= ~inside[:-1]
-        edges = at[:-1][at[:-1] < n]
-        begins[edges] = inside[edges]
+    begins[1:] &= ~inside[:-1]
+    begins[edges] = inside[edges]
     stops = inside.copy()
-    if n > 1:
-        stops[:-1] &= ~inside[1:] | begins[1:]
+    stops[:-1] &= ~inside[1:] | begins[1:]
     starts = np.flatnonzero(begins)
     ends = np.flatnonzero(stops) + 1
-    rows = np.searchsorted(starts, at)
     if not len(starts):
-        return Words(starts, ends, np.zeros(0, np.uint64), rows, np.zeros(n + 1, np.uint64) if running else None)
+        return starts, ends, np.zeros(0, np.uint64)
+    if len(starts) == 1 and ends[0] - starts[0] > BLOCK_BYTES:
+        return starts, ends, _long_word(data[starts[0] : ends[0]], codes)
     lengths = ends - starts
     powers = _powers(int(lengths.max()))
     where = np.flatnonzero(inside)
     first = np.cumsum(lengths) - lengths
     position = np.arange(len(where)) - np.repeat(first, lengths)
     terms = codes[data[where]] * powers[position]
-    hashes = mix(np.add.reduceat(terms, first) ^ lengths.astype(np.uint64))
-    total = None
-    if running:
-        total = np.zeros(n + 1, np.uint64)
-        total[where + 1] = terms
-        total = np.cumsum(total, dtype=np.uint64)
-    return Words(starts, ends, hashes, rows, total)
+    return starts, ends, mix(np.add.reduceat(terms, first) ^ lengths.astype(np.uint64))
+
+
+def _cuts(data: np.ndarray, at: np.ndarray, separators: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about BLOCK_BYTES that cut no word: each ends at a separator or a row's edge."""
+    lo, n = 0, len(data)
+    while n - lo > BLOCK_BYTES:
+        hi = lo + BLOCK_BYTES
+        row = int(at[np.searchsorted(at, hi, side="right") - 1])
+        gap = np.flatnonzero(separators[data[lo:hi]])
+        end = max(row, lo + int(gap[-1]) + 1 if len(gap) else lo)
+        while end <= lo:
+            # One word fills the block: it goes on to the next separator or the row's end.
+            row = int(at[min(np.searchsorted(at, hi, side="left"), len(at) - 1)])
+            gap = np.flatnonzero(separators[data[hi : hi + BLOCK_BYTES]])
+            end = min(row if row <= hi + BLOCK_BYTES else n, hi + int(gap[0]) if len(gap) else n)
+            if end == n and hi + BLOCK_BYTES < n:
+                hi, end = hi + BLOCK_BYTES, lo
+        yield lo, end
+        lo = end
+    if n > lo:
+        yield lo, n
+
+
+def words(data: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACES, codes: np.ndarray = EXACT_CODES, running: bool = False) -> Words:
+    """Splits rows, given as bytes and offsets, into hashed words; ``running`` keeps what prefix_hashes needs."""
+    found = []
+    for lo, hi in _cuts(data, at, separators):
+        edges = at[np.searchsorted(at, lo) : np.searchsorted(at, hi)] - lo
+        starts, ends, hashes = _split(data[lo:hi], edges, separators, codes)
+        found.append((starts + lo, ends + lo, hashes))
+    if len(found) == 1:
+        starts, ends, hashes = found[0]
+    elif found:
+        starts, ends, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+    else:
+        starts, ends, hashes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    rows = np.searchsorted(starts, at)
+    return Words(starts, ends, hashes, rows, data if running else None, codes if running else None)
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
