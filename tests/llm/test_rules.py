@@ -160,6 +160,7 @@ def measured(text):
     letters = sum(c.isascii() and c.isalpha() or not c.isascii() for c in text)
     failed = n < 50 or 100 * again > 50 * n
     rejected = 10 * symbols > n or 10 * dup > 3 * len(lines) or chars > 15 * n or 2 * chars < 3 * n or 10 * letters < 6 * chars
+    rejected = rejected or 10 * sum(x.endswith(("...", "\u2026")) for x in lines) > 3 * len(lines)
     return n, chars, symbols, dup, again, failed, not (failed or rejected)
 
 
@@ -171,7 +172,7 @@ def quality_rows():
         vocabulary = [word() for _ in range(rng.choice([3, 20, 2000]))] + rng.choice([[], ["#", "*x*"], ["1234567"], ["y" * 40]])
         lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(0, 25))]
         rows.append((i, rng.choice(["\n", "\r\n", "\n\t\n"]).join(lines + lines[: rng.choice([0, 0, 3, 20])])))
-    return [*rows, (None, rows[0][1]), (0, rows[0][1]), (80, None), (81, ""), (82, " \n\t\x0b"), (83, "ab cd " * 30_000), (84, "z" * 1_500_000)]
+    return [*rows, (None, rows[0][1]), (0, rows[0][1]), (80, None), (81, ""), (82, " \n\t\x0b"), (83, "ab cd " * 30_000), (84, "z" * 1_500_000), (85, "."), (86, ".."), (87, "\n".join([*rows[2][1].split("\n")[:3], *[" ".join(f"w{i}{j}" for j in range(9)) + rng.choice(["...", "\u2026", "."]) for i in range(12)]]))]
 
 
 def test_quality_rules(spark):
@@ -189,10 +190,54 @@ def test_cascade_order(spark):
 
     import numpy as np
 
-    def slow(m, rows):
+    def slow(n):
         time.sleep(0.02)
-        return np.ones(len(rows), bool)
+        return np.ones(len(n), bool)
 
-    rules = [quality.Rule("slow", slow), quality.Rule("never", lambda m, rows: np.zeros(len(rows), bool)), quality.Rule("quick", lambda m, rows: np.ones(len(rows), bool))]
+    rules = [quality.Rule("slow", ("n_words",), slow), quality.Rule("never", ("n_words",), lambda n: np.zeros(len(n), bool)), quality.Rule("quick", ("n_words",), lambda n: np.ones(len(n), bool))]
     df = spark.createDataFrame([(str(i),) for i in range(20)], "text string")
-    assert [r.name for r in quality.plan(df, rules)] == ["quick", "slow", "never"]
+    ordered = [r.name for r in quality.plan(df, rules)]
+    # Nothing is left after the quick rule, so the others reject nothing and only their cost counts.
+    assert ordered[0] == "quick" and set(ordered) == {"quick", "slow", "never"}
+
+
+def test_costs_are_marginal():
+    import numpy as np
+
+    ticks = iter(range(10**6))
+    texts = ["a b c"] * 6 + ["word " * 60] * 4
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    # By a clock that ticks once a call every rule costs the same, so rejections of rows that are left decide.
+    six, same, four = quality.Rule("six", ("n_words",), lambda n: n < 5), quality.Rule("same", ("word_chars",), lambda c: c < 9), quality.Rule("four", ("n_symbols", "n_words"), lambda s, n: n > 50)
+    assert [r.name for r in quality.greedy([(data, at)], [same, four, six], clock=lambda: next(ticks))] == ["same", "four", "six"]
+
+
+def test_rules_measure_only_rows_that_are_left():
+    import numpy as np
+
+    rows = [t or "" for _, t in quality_rows()]
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in rows])])
+    m, every = quality.Measures(data, at), np.arange(len(rows))
+    left = every
+    for rule in [*quality.BASE, *quality.FURTHER]:
+        steps = {quality._STEP_OF[x] for x in rule.needs} - set(m.known)
+        asked, left = len(left), quality._alive(m, [rule], left)
+        assert all(m.measured[s] == asked for s in steps)
+    assert 0 < len(left) < m.measured["n_letters",] < m.measured["n_repeat_words",] < len(rows) == m.measured["n_words",]
+    # What a step gives for some rows is what it gives for all.
+    whole = quality.Measures(data, at)
+    for step in quality.STEPS:
+        for name in step:
+            assert (whole.ask(name, every)[left] == quality.Measures(data, at).ask(name, left)).all()
+            assert (m.ask(name, every) == whole.ask(name, every)).all()
+
+
+def test_quality_filter(spark):
+    rows = quality_rows()
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, kept string, n_words int")
+    out = quality.without_rejected(df)
+    assert out.schema == df.schema
+    assert sorted((r.doc_id, r.text) for r in out.collect() if r.doc_id is not None) == sorted((i, t) for i, t in rows if measured(t)[-1] and i is not None)
+    assert quality.without_rejected(df.limit(0)).count() == 0
