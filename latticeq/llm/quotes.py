@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 _MARKS = r"^(?:[ \t]*>)+"
 _WROTE = r"(?i)^\s*(?:on|am|le|el)\b.{0,300}:\s*$"
@@ -66,7 +66,8 @@ def link(messages: DataFrame) -> DataFrame:
     alone. Rows of the same conv_id and turn count as one message for links and give a row each. Other
     columns are dropped; an empty table gives no rows.
     """
-    given = parse(messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text"))
+    # Written, so that lines are parsed once and not again for each of the three reads below.
+    given = stored(parse(messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")).drop("text"), "parsed")
     hashed = lambda units: F.transform(units, lambda u: F.struct(F.md5(u).alias("h"), F.length(u).alias("size")))
     own = given.select("conv_id", "turn", F.explode(hashed(_units(F.col("body")))).alias("u"))
     quoted = given.where(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("run", "p"))
@@ -88,11 +89,14 @@ def link(messages: DataFrame) -> DataFrame:
 def thread_paths(replies: DataFrame) -> DataFrame:
     """conv_id, turn, reply_path of each reply: pointers double each round, so rounds are log2 of the depth."""
     state = replies.select("conv_id", "turn", F.col("reply_to").alias("up"), F.array("turn").alias("path"))
+    last = None
     while True:
         above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
         joined = state.join(above, ["conv_id", "up"], "left")
         joined = joined.select("conv_id", "turn", F.when(F.col("path2").isNull(), F.col("up")).otherwise(F.col("up2")).alias("up"), F.concat(F.coalesce("path2", F.array().cast("array<long>")), "path").alias("path"), F.col("path2").isNotNull().alias("moved"))
         joined = stored(joined, "paths")
+        discard(last)
+        last = joined
         state = joined.drop("moved")
         if joined.where("moved").isEmpty():
             return state.select("conv_id", "turn", F.concat(F.array("up"), "path").alias("reply_path"))

@@ -103,6 +103,15 @@ def test_links_against_brute_force(spark):
     assert any(len(r[-1]) == 37 for r in got)
 
 
+def test_registered_query_against_brute_force(spark, tmp_path):
+    # The synthetic tables quote nothing, so the query is run over conversations with nested quotes.
+    rows = made(3)
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [(r.conv_id, r.turn, r.role, r.body, r.n_passages, r.n_linked, r.max_level, r.reply_to, r.reply_path) for r in quotes.query(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == brute(rows)
+    assert sum(r[5] > 0 for r in got) > 100 and max(r[6] for r in got) >= 2
+
+
 def test_reply_order_and_levels(spark):
     rows = [(1, 0, "user", "First question here?"), (1, 1, "user", "Second question here?"), (1, 2, "assistant", "> First question here?\nAnswer to the first."), (1, 3, "assistant", "On Friday, X wrote:\n> Second  QUESTION here\nAnswer to the second."), (1, 4, "user", "> Answer to the first.\n>> First question here?\nThanks a lot.")]
     got = sorted(quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.reply_path)
