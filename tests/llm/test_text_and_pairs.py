@@ -109,6 +109,8 @@ def test_near_duplicates(spark):
 
 def test_large_lists_are_searched_as_families(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FEW", 2)
+    # Many parts a list, so that each meets its leader and state by salt.
+    monkeypatch.setattr(neardup, "LIST_ROWS", 3)
     monkeypatch.setattr(neardup, "INDEX_SHINGLES", 2000)
     monkeypatch.setattr(neardup, "PIVOT_SHINGLES", 3000)
     rows = corpus(3)
@@ -154,9 +156,11 @@ def test_decontamination(spark):
     df = spark.createDataFrame([(i, t, 1, "z") for i, t in docs], "doc_id long, text string, n_item int, n_shared string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     key = lambda r: tuple(-1 if x is None else x for x in r)
-    for block in (20_000, 5):
-        got = [tuple(r) for r in decontamination.contaminated(df, bench, block_rows=block).collect()]
+    for block in (1 << 26, 5000):
+        got = [tuple(r) for r in decontamination.contaminated(df, bench, block_bytes=block).collect()]
         assert sorted(got, key=key) == sorted(want, key=key)
+    blocks = list(decontamination.blocks_of(bench, "item_id", "text", 5, 80, 64, 5000))
+    assert len(blocks) > 3 and sum(len(b.ids) for b in blocks) == len({x for x in items if x[1]})
     clean = decontamination.without_contaminated(df, bench)
     assert clean.columns == df.columns and clean.count() == len(docs) - len([d for d in docs if any(w[0] == d[0] for w in want)])
     assert decontamination.contaminated(df, bench.limit(0)).count() == 0
