@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_
@@ -39,9 +39,18 @@ class Result:
     axes: tuple[list[str], list[str]] | None = None
     hidden: list[str] | None = None
     debug: dict[str, Any] | None = None
+    limit: int | None = None
+    on_limit: Callable[[int], None] | None = None
+
+    def _collected(self, frame: DataFrame) -> list[tuple]:
+        """All rows; tells ``on_limit`` where there are as many as the limit allows."""
+        found = [tuple(r) for r in frame.collect()]
+        if self.limit and self.on_limit and len(found) >= self.limit:
+            self.on_limit(self.limit)
+        return found
 
     def rows(self) -> list[tuple]:
-        return [tuple(r) for r in self.frame.collect()]
+        return self._collected(self.frame)
 
     def write(self, path: str, kind: str = "parquet", mode: str = "error", **options: Any) -> None:
         """The labelled rows as files of any kind that Spark writes; a pivot table's as flat rows."""
@@ -57,7 +66,7 @@ class Result:
 
     def cells(self) -> list[dict[str, Any]]:
         n = len(self.names)
-        rows = [tuple(r) for r in self.raw.collect()]
+        rows = self._collected(self.raw)
         values, totals = [r[:n] for r in rows], [[x == 1 for x in r[n:]] for r in rows]
         if not self.axes:
             return render.cells(self.names, self.measures, values, totals, self.minify)
@@ -88,10 +97,13 @@ class Result:
 
 
 class Engine:
-    """``limit`` rows are given of any result whose query doesn't say (None: all)."""
+    """``limit`` rows are given of any result whose query doesn't say (None: all).
+
+    ``on_limit`` is called with the limit when the rows of a result reach it, so may lack some.
+    """
 
-    def __init__(self, spark: SparkSession, limit: int | None = 10_000, cache: FrameCache | None = None):
-        self.spark, self.limit, self.cache = spark, limit, cache
+    def __init__(self, spark: SparkSession, limit: int | None = 10_000, cache: FrameCache | None = None, on_limit: Callable[[int], None] | None = None):
+        self.spark, self.limit, self.cache, self.on_limit = spark, limit, cache, on_limit
         self.catalog = Catalog(spark)
 
     def _compiler(self, q: M.Query, axes=None, user: str = "") -> Compiler:
@@ -120,7 +132,7 @@ class Engine:
                 shown.append(F.when(every, F.lit(M.GRAND_TOTAL)).when(flag(x) == 1, F.lit(M.TOTAL)).otherwise(F.col(x).cast("string")).alias(f"c{i}"))
         frame = rows.select(*shown).toDF(*names)
         measures = [m.alias for m in c.query.measures]
-        return Result(frame, raw, names, measures, minify if minify is not None else c.query.minify, axes, [M.output_name(f) for f in hidden], {"cache": self.cache.stats()} if self.cache else {})
+        return Result(frame, raw, names, measures, minify if minify is not None else c.query.minify, axes, [M.output_name(f) for f in hidden], {"cache": self.cache.stats()} if self.cache else {}, limit, self.on_limit)
 
     def query(self, q: M.Query, user: str = "", strict_limit: bool = False) -> Result:
         """A tabular result. With ``strict_limit`` a result of the limit's size raises LimitExceeded."""
@@ -144,9 +156,10 @@ class Engine:
         """The scopes that a query is made of: filters, grains and base measures."""
         return describe.scopes(self._compiler(q))
 
-    def pivot(self, p: M.PivotQuery, user: str = "") -> Result:
+    def pivot(self, p: M.PivotQuery, user: str = "", strict_limit: bool = False) -> Result:
+        """A pivot table. With ``strict_limit`` a merged query's part of the limit's size raises LimitExceeded."""
         if isinstance(p.query, M.MergeQuery):
-            return self._merge_pivot(p, user)
+            return self._merge_pivot(p, user, strict_limit)
         q, axes = pivot.prepared(p.query, list(p.rows), list(p.columns), list(p.hidden_totals))
         c = self._compiler(q, axes, user)
         return self._result(c, ([M.output_name(f) for f in p.rows], [M.output_name(f) for f in p.columns]), p.minify, p.hidden_totals)
@@ -171,7 +184,7 @@ class Engine:
         side = self._merged(m, [self._compiler(q, user=user) for q in m.queries], strict_limit)
         return self._merge_result(side, m, minify=m.minify)
 
-    def _merge_pivot(self, p: M.PivotQuery, user: str) -> Result:
+    def _merge_pivot(self, p: M.PivotQuery, user: str, strict_limit: bool) -> Result:
         compilers = []
         for q in p.query.queries:
             own = {M.output_name(f) for f in q.columns} | ({q.column_set.new_field, M.output_name(q.column_set.field)} if q.column_set else set())
@@ -179,7 +192,7 @@ class Engine:
             ready, axes = pivot.prepared(q, local(p.rows), local(p.columns), local(p.hidden_totals))
             compilers.append(self._compiler(ready, axes, user))
         axes = [M.output_name(f) for f in p.rows], [M.output_name(f) for f in p.columns]
-        return self._merge_result(self._merged(p.query, compilers, False), p.query, axes, p.minify, [M.output_name(f) for f in p.hidden_totals])
+        return self._merge_result(self._merged(p.query, compilers, strict_limit), p.query, axes, p.minify, [M.output_name(f) for f in p.hidden_totals])
 
     def join(self, q: M.JoinQuery) -> DataFrame:
         plain = lambda x: self._compiler(replace(x, limit=-1)).result(order=False, limited=False, labels=False)

@@ -60,7 +60,9 @@ def joined(c, scope, m: M.Measure, name: str) -> DataFrame:
     current = c.value(scope, m.measure)
     other_scope = read_scope(c, scope, m)
     other = c.value(other_scope, m.measure)
-    left, right = c.frame(scope), c.frame(other_scope)
+    # A base measure is read from the aggregation itself, not from what other comparisons made of it.
+    state = c.state(other_scope)
+    left, right = c.frame(scope), state.plain if other in state.plain.columns else c.frame(other_scope)
     dims = range(len(c.dims))
     grouped = c.query.column_set is not None
     read = right.select(*[F.col(f"d{i}").alias(f"rd{i}") for i in dims], *[F.col(f"g{i}").alias(f"rg{i}") for i in dims], *([F.col("cs").alias("rcs"), F.col("gpos").alias("rgpos")] if grouped else []), F.col(other).alias("rvalue"), F.lit(True).alias("rfound"))

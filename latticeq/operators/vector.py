@@ -83,6 +83,8 @@ def expanded(m: M.Measure, pivot) -> M.Measure:
 
 def joined(c, scope, m: M.Vector | M.VectorTuple, name: str) -> DataFrame:
     """The scope's frame with the vector, or what its transform makes of it, as ``name``."""
+    from ..plans.compiler import barred
+
     single = isinstance(m, M.Vector)
     parts = [(m.field, m.function)] if single else list(m.parts)
     dims = range(len(c.dims))
@@ -92,8 +94,12 @@ def joined(c, scope, m: M.Vector | M.VectorTuple, name: str) -> DataFrame:
     selected = single and c.index(m.axis) is not None
     if selected:
         vectors = c.aggregated(scope, scope.sets, base).withColumnRenamed("m0", "__vector")
+    elif (key := (scope.where, scope.having, m)) in c.physical:
+        vectors = c.physical[key]
     else:
-        inner = _inner(c, scope, base, axis)
+        # One aggregation for the sets of all scopes of these filters, as for other measures.
+        group = [s.sets for s in c.states if (s.where, s.having) == (scope.where, scope.having)]
+        inner = _inner(c, replace(scope, sets=frozenset().union(scope.sets, *group)), base, axis)
         rows = F.array_sort(F.collect_list(F.struct("axis", *[F.col(f"m{i}").alias(f"v{i}") for i in range(len(parts))])))
         vectors = inner.groupBy(*[f"d{i}" for i in dims], *flags).agg(rows.alias("__vector")) if c.dims else inner.agg(rows.alias("__vector"))
         if single:
@@ -102,6 +108,9 @@ def joined(c, scope, m: M.Vector | M.VectorTuple, name: str) -> DataFrame:
             vectors = vectors.withColumn("__vector", F.transform("__vector", lambda r: r["v0"].cast(wide)))
         elif m.transform is not None:
             vectors = vectors.withColumn("__vector", m.transform(F.col("__vector")))
+        c.physical[key] = vectors
+    if not selected and c.dims:
+        vectors = barred(vectors, c.in_sets(scope.sets))
     read = vectors.select(*[F.col(f"d{i}").alias(f"rd{i}") for i in dims], *[F.col(f).alias(f"r{f}") for f in flags], "__vector")
     left = c.frame(scope)
     condition = F.lit(True)

@@ -37,6 +37,8 @@ class Scope:
 class State:
     base: list[M.Measure] = field(default_factory=list)
     frame: DataFrame | None = None
+    #: The frame before calculated measures are joined to it.
+    plain: DataFrame | None = None
     columns: dict[M.Measure, str] = field(default_factory=dict)
 
 
@@ -72,8 +74,10 @@ class Source:
 
     def _join(self, join: M.Join) -> None:
         right = self._named(join.table)
-        if join.type == "cross" or join.on is None:
+        if join.type == "cross":
             self.frame = self.frame.crossJoin(right)
+        elif join.on is None:
+            raise ValueError(f"the {join.type} join has no condition; use a cross join for all pairs")
         else:
             kind = {"inner": "inner", "left": "left", "full": "full"}[join.type]
             self.frame = self.frame.join(right, criteria.predicate(join.on, self.column), kind)
@@ -127,6 +131,17 @@ def _quoted(name: str, frame: DataFrame) -> str:
     return f"`{table}`.`{column}`" if table else f"`{column}`"
 
 
+def barred(rows: DataFrame, condition: Column | None = None) -> DataFrame:
+    """The aggregated ``rows`` where ``condition`` holds, by a filter that the optimiser leaves where it is.
+
+    Scopes read their rows from one aggregation. Conditions pushed into it, or measures left out of it, would make
+    as many plans of it as there are readers, each with a scan of its own. With a filter above it that depends on
+    no row but names all measures, its exchange is the same for all readers and is reused.
+    """
+    measures = [F.col(c).isNull() for c in rows.columns if c[0] == "m" and c[1:].isdigit()]
+    return rows.where(F.when(reduce(lambda a, b: a | b, measures, F.rand(0) + 1.0 > 0), F.lit(True) if condition is None else condition))
+
+
 def check_sub_query(q: M.Query) -> None:
     if q.column_set is not None:
         raise ValueError("a sub-query can't have a column set")
@@ -239,7 +254,7 @@ class Compiler:
         rows = self.source.frame
         if (where := criteria.predicate(scope.where, self.source.column)) is not None:
             rows = rows.where(where)
-        # Grouping columns are projected first: grouping sets over aliased expressions lose their values.
+        # Grouping columns are projected first, under internal names that no measure's operand has.
         rows = rows.withColumns({f"d{i}": self.source.column(f) for i, f in enumerate(self.dims)}) if self.dims else rows
         names = [f"d{i}" for i in range(len(self.dims))]
         aggregates = [self.source.base(m).alias(f"m{i}") for i, m in enumerate(base)]
@@ -253,9 +268,14 @@ class Compiler:
                 out = (rows.groupBy(*names) if names else rows).agg(*aggregates)
             out = out.withColumns({f"g{i}": F.lit(0) for i in every}) if names else out
         else:
-            flags = [F.grouping(n).cast("int").alias(f"g{i}") for i, n in enumerate(names)]
+            # Rows once for each set, without the dimensions that it totals. Spark's own grouping sets do the same, but
+            # copies of them in one plan don't compare equal, so their exchange isn't reused.
             order = sorted(sorted(s) for s in sets)
-            out = rows.groupingSets([[names[i] for i in s] for s in order], *names).agg(*aggregates, *flags)
+            within = [F.col("__set").isin([k for k, s in enumerate(order) if i in s]) for i in range(len(names))]
+            rows = rows.withColumn("__set", F.explode(F.array(*[F.lit(k) for k in range(len(order))])))
+            rows = rows.withColumns({n: F.when(w, F.col(n)) for n, w in zip(names, within, strict=True)}) if names else rows
+            out = rows.groupBy(*names, "__set").agg(*aggregates) if aggregates else rows.select(*names, "__set").distinct()
+            out = out.withColumns({f"g{i}": F.when(w, 0).otherwise(1) for i, w in enumerate(within)}).drop("__set") if names else out.drop("__set")
         kept = criteria.predicate(scope.having, self._unresolved, lambda m: F.col(f"h{having.index(m)}"))
         out = out.where(kept) if kept is not None else out
         return out.drop(*[f"h{i}" for i in range(len(having))])
@@ -272,10 +292,10 @@ class Compiler:
         if state.frame is None:
             shared, base = self._physical(scope)
             group = frozenset().union(*[s.sets for s in self.states if (s.where, s.having) == (scope.where, scope.having)])
-            if scope.sets != group:
-                shared = shared.where(self.in_sets(scope.sets))
+            if not all(map(is_primitive, self.query.measures)):
+                shared = barred(shared, self.in_sets(scope.sets) if scope.sets != group else None)
             state.columns |= {m: f"m{base.index(m)}" for m in state.base}
-            state.frame = self._grouped(shared)
+            state.frame = state.plain = self._grouped(shared)
         return state.frame
 
     def in_sets(self, sets: frozenset[frozenset[int]]) -> Column:
@@ -310,7 +330,7 @@ class Compiler:
         if isinstance(m, M.ConstantMeasure):
             state.frame = state.frame.withColumn(name, self.source.base(m))
         elif isinstance(m, M.TotalCount):
-            state.frame = state.frame.crossJoin(F.broadcast(state.frame.agg(F.count(F.lit(1)).alias(name))))
+            state.frame = state.frame.crossJoin(F.broadcast(state.plain.agg(F.count(F.lit(1)).alias(name))))
         elif isinstance(m, M.Binary):
             a, b = self.value(scope, m.left), self.value(scope, m.right)
             state.frame = state.frame.withColumn(name, arithmetic.between_results(m.op, F.col(a), F.col(b)))

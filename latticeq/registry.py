@@ -12,7 +12,7 @@ from .functions import (
     aggregate, all_, any_, any_value, avg, avg_if, call, compare_ancestors_total, compare_dimension, compare_grand_total, compare_group, compare_parent, compare_parent_of_axis,
     compare_period, compare_total_of_axis, contains, count, count_all, count_distinct, count_distinct_if, count_if, criterion, current_date, decimal, divide, eq, expression, field, fields, ge, gt, in_, integer,
     le, like, lit, lower, lt, max_, max_if, min_, min_if, minus, month, multiply, neq, not_, not_in, not_null, or_, parametrized, plus, quarter, sum_, sum_if, total_count, trim, upper, vector, year, null, and_,
-    relative_difference, abs_,
+    relative_difference, abs_, true, false,
 )
 from .plans import model as M
 from .plans.builder import from_
@@ -381,9 +381,30 @@ def _(e):
     return e.frame(from_("tagged").where(criterion("tags", contains(3))).select(["label"], [count_all]).build())
 
 
-@query("current_date", None)
+@query("current_date", "SELECT r_name, count(*) _contributors_count_ FROM region WHERE current_date >= DATE '2024-01-01' GROUP BY ALL")
 def _(e):
-    return e.frame(from_("region").where(criterion(current_date(), not_null)).select([current_date().as_("today")], [count_all]).build())
+    import datetime
+
+    where = all_(criterion(current_date(), not_null), criterion(current_date(), ge(datetime.date(2024, 1, 1))))
+    return e.frame(from_("region").where(where).select(["r_name"], [count_all]).build())
+
+
+@query("constant_conditions", "SELECT r_name, count(*) _contributors_count_ FROM region WHERE (true AND r_regionkey > 1) OR (false AND r_regionkey = 0) GROUP BY ALL")
+def _(e):
+    key = field("r_regionkey")
+    where = any_(all_(criterion(key, true), criterion(key, gt(1))), all_(criterion(key, false), criterion(key, eq(0))))
+    return e.frame(from_("region").where(where).select(["r_name"], [count_all]).build())
+
+
+@query("listagg", "SELECT r_regionkey, string_agg(r_name, '') names FROM region GROUP BY ALL")
+def _(e):
+    return e.frame(from_("region").select(["r_regionkey"], [aggregate("names", "r_name", "listagg")]).build())
+
+
+@query("ordered_rollup", """SELECT CASE WHEN grouping(l_returnflag) = 1 THEN 'Grand Total' ELSE l_returnflag END l_returnflag, round(sum(l_quantity), 2) qty FROM lineitem
+  GROUP BY ROLLUP (l_returnflag) ORDER BY grouping(l_returnflag) DESC, l_returnflag DESC LIMIT 3""", qty=2)
+def _(e):
+    return e.frame(from_("lineitem").select([flag], [total_qty]).rollup(flag).order_by(flag, descending=True).limit(3).build())
 
 
 @query("raw_sql", "SELECT l_linestatus, CAST(rank() OVER (ORDER BY sum(l_quantity) DESC) AS INT) r FROM lineitem GROUP BY ALL")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from typing import Any
 
+from pyspark.errors import AnalysisException
+
 from .engine import Engine, LimitExceeded
 from .plans.describe import formula
 from .sources import codec, render
@@ -13,10 +15,14 @@ ROUTES = ("query", "query-merge", "experimental/query-join", "query-pivot", "que
 
 
 def handle(engine: Engine, route: str, body: Any = None, accept: str = "application/json", user: str = "") -> tuple[int, Any]:
-    """(status, answer). ``accept`` picks JSON (a dict), ``text/csv`` or ``text/plain``."""
-    body = json.loads(body) if isinstance(body, (str, bytes)) else body
+    """(status, answer). ``accept`` picks JSON (a dict), ``text/csv`` or ``text/plain``.
+
+    Bodies that aren't JSON or not of the route's form, and queries that the engine or Spark's analysis refuses,
+    are answered by 400; whatever fails while running by 500. Nothing is raised.
+    """
     route = route.strip("/")
     try:
+        body = json.loads(body) if isinstance(body, (str, bytes)) and body else body
         if route == "metadata":
             return 200, engine.metadata()
         if route == "expression":
@@ -30,7 +36,7 @@ def handle(engine: Engine, route: str, body: Any = None, accept: str = "applicat
             if "plain" in accept:
                 return 200, render.text(names, values)
             return 200, {"columns": names, "cells": [dict(zip(names, r, strict=True)) for r in values]}
-        run = {"query": lambda: engine.query(codec.query(body), user), "query-merge": lambda: engine.merge(codec.merge(body), user, strict_limit=True), "query-pivot": lambda: engine.pivot(codec.pivot(body), user), "query-merge-pivot": lambda: engine.pivot(codec.pivot(body), user)}
+        run = {"query": lambda: engine.query(codec.query(body), user), "query-merge": lambda: engine.merge(codec.merge(body), user, strict_limit=True), "query-pivot": lambda: engine.pivot(codec.pivot(body), user), "query-merge-pivot": lambda: engine.pivot(codec.pivot(body), user, strict_limit=True)}
         if route not in run:
             return 404, {"message": f"no route {route}"}
         result = run[route]()
@@ -41,5 +47,7 @@ def handle(engine: Engine, route: str, body: Any = None, accept: str = "applicat
         return 200, result.json()
     except LimitExceeded:
         return 500, {"message": "query limit exceeded"}
-    except (ValueError, KeyError) as error:
+    except (ValueError, KeyError, TypeError, AttributeError, AnalysisException) as error:
         return 400, {"message": str(error)}
+    except Exception as error:  # the answer of a server has to come, whatever happened
+        return 500, {"message": f"{type(error).__name__}: {error}"}

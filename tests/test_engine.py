@@ -181,6 +181,73 @@ def test_query_join_without_limit_gives_all_rows(spark):
     assert engine.join(M.JoinQuery(sides[0], [(sides[1], "inner", None)], None, [(field("k"), M.SimpleOrder())], 7)).count() == 7
 
 
+def scans(df):
+    """How often each file table is scanned by the executed plan, and how many exchanges are reused."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("FileScan"), plan.count("ReusedExchange")
+
+
+def test_one_aggregation_for_all_readers(spark, tmp_path):
+    spark.createDataFrame(SHOPS * 3, "region string, city string, item string, amount double, n int").write.parquet(f"{tmp_path}/shop")
+    e = Engine(spark)
+    e.catalog.load_file("shop", f"{tmp_path}/shop")
+    place = fields("region", "city")
+    parent, whole = compare_parent("p", "divide", amount, place), compare_ancestors_total("w", "divide", amount, place)
+    # A second measure that no comparison reads must not make another aggregation of the readers' side.
+    q = from_("shop").select(place, [amount, max_("top", "n"), parent, whole, compare_grand_total("g", "divide", amount)]).rollup(*place).build()
+    assert scans(e.frame(q))[0] == 1
+    assert scans(e.frame(from_("shop").select(["city"], [amount, total_count]).build())) == (1, 1)
+    axes = from_("shop").select(["region", "item"], [amount, *[compare_parent_of_axis(a, "divide", amount, a) for a in ("row", "column")]]).build()
+    assert scans(e.pivot(M.PivotQuery(axes, fields("region"), fields("item"))).frame)[0] == 1
+    # Two: the rows' aggregation and the vectors', which has one dimension more.
+    v = parametrized("v", "INCREMENTAL_VAR", value=field("amount"), date=field("item"), quantile=0.5, ancestors=place)
+    assert scans(e.frame(from_("shop").select(place, [amount, v]).rollup(*place).build()))[0] == 2
+
+
+def test_limits_are_told(engine, spark):
+    told = []
+    e = Engine(spark, limit=2, on_limit=told.append)
+    e.catalog.register("shop", engine.catalog.table("shop"))
+    assert len(rows(e.query(from_("shop").select(["region", "city"], [amount]).build()))) == 2 and told == [2]
+    assert len(rows(e.query(from_("shop").select([], [amount]).build()))) == 1 and told == [2]
+    e.query(from_("shop").select(["city"], [amount]).limit(3).build()).cells()
+    assert told == [2, 3]
+    sides = [from_("shop").select(["region", "item"], [m]).build() for m in (amount, max_("top", "n"))]
+    merged = M.PivotQuery(M.MergeQuery(sides, ["full"]), fields("region"), fields("item"))
+    assert len(rows(engine.pivot(merged, strict_limit=True))) == 9
+    with pytest.raises(LimitExceeded):
+        e.pivot(merged, strict_limit=True)
+
+
+def test_joins_need_a_condition_unless_cross(engine):
+    for how in ("inner", "left"):
+        with pytest.raises(ValueError, match="no condition"):
+            engine.query(M.Query(M.Table("shop", [M.Join(M.Table("plan"), how, None)]), fields("region"), [amount]))
+    assert len(rows(engine.query(M.Query(M.Table("shop", [M.Join(M.Table("plan"), "cross", None)]), fields("region"), [amount])))) == 2
+
+
+def test_service_answers_whatever_comes(engine):
+    for route, body, status in (("query", "{no json", 400), ("query", b"", 400), ("query", "[]", 400), ("query", None, 400), ("expression", "{}", 200), ("nothing", "{}", 404)):
+        assert service.handle(engine, route, body)[0] == status, (route, body)
+    unknown = codec.encode(from_("shop").select(["nocolumn"], [amount]).build())
+    status, answer = service.handle(engine, "query", json.dumps(unknown))
+    assert status == 400 and "nocolumn" in answer["message"]
+    failing = codec.encode(from_("shop").select(["region"], [expression("x", "sum(cast(item AS int))")]).build())
+    assert service.handle(engine, "query", json.dumps(failing))[0] == 500
+
+
+def test_cache_among_threads(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    e = Engine(spark, cache=FrameCache(size=2))
+    e.catalog.register("shop", spark.createDataFrame(SHOPS, "region string, city string, item string, amount double, n int"))
+    asked = [from_("shop").select([c], [amount]).build() for c in ("region", "city", "item", "n")] * 6
+    with ThreadPoolExecutor(8) as pool:
+        assert list(pool.map(lambda q: rows(e.query(q)), asked)) == [rows(e.query(q)) for q in asked]
+    assert e.cache.stats()["entries"] == 2 and e.cache.hits + e.cache.misses == 48
+
+
 def test_pivot(engine):
     q = from_("shop").select(["region", "item"], [amount, compare_parent_of_axis("p", "divide", amount, "row")]).build()
     result = engine.pivot(M.PivotQuery(q, fields("region"), fields("item")))
