@@ -78,7 +78,7 @@ def target_shares(counts: list[int], total: int = 1000, power: float = 0.5) -> l
     return [max(1, round(total * r / sum(raw))) for r in raw] if raw else []
 
 
-def mix_sources(documents: DataFrame, weights: dict[str, int] | None = None, block_rows: int = 64, key: str = "doc_id", source: str = "source", keep: list[str] | None = None, cell_rows: int = 4096, most_sources: int = 2000) -> DataFrame:
+def mix_sources(documents: DataFrame, weights: dict[str, int] | None = None, block_rows: int = 64, key: str = "doc_id", source: str = "source", keep: list[str] | None = None, cell_rows: int = 1024, most_sources: int = 2000) -> DataFrame:
     """``keep`` columns (key and source by default) plus block, slot and place (``block_rows`` places a slot).
 
     ``weights`` are whole shares by source; without them shares follow the square root of the sources'
