@@ -75,10 +75,50 @@ def test_mixture(spark, cell_rows):
         assert all(abs(seen[s] * total - (k + 1) * p) < total for s, p in shares.items())
 
 
-def test_mixture_defaults_and_limits(spark):
+def test_mixture_defaults_and_empty_tables(spark):
     df = spark.range(300).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "7 AS block")
     out = mixing.mix_sources(df, keep=["doc_id", "source", "block"])
     assert out.columns == ["doc_id", "source", "block", "slot", "place"] and out.select("place").distinct().count() == 300
     assert mixing.mix_sources(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix_sources(df, most_sources=2)
+
+
+@pytest.mark.parametrize("weights", [None, {"hot": 900, "s7": 40, "absent": 3}])
+def test_more_sources_than_lanes(spark, weights):
+    rng = random.Random(2)
+    sources = ["hot"] * 1500 + [None] * 90 + [f"s{i}" for i in range(3000) for _ in range(1 + i % 3)]
+    rng.shuffle(sources)
+    df = spark.createDataFrame(list(enumerate(sources)), "doc_id long, source string").repartition(4)
+    got = sorted(mixing.mix_sources(df, weights, block_rows=2, most_lanes=20).collect(), key=lambda r: r.place)
+    assert sorted((r.doc_id, r.source) for r in got) == sorted(enumerate(sources), key=lambda x: x[0])
+    assert len({r.place for r in got}) == len(got)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.slot, []).append(r)
+    # No slot stays empty, and each has one block of one source.
+    assert sorted(slots) == list(range(len(slots)))
+    assert all(len({(r.source, r.block) for r in s}) == 1 for s in slots.values())
+    for s, n in Counter(sources).items():
+        assert sorted({(x[0].block, len(x)) for x in slots.values() if x[0].source == s}) == [(i, min(2, n - 2 * i)) for i in range(math.ceil(n / 2))]
+    # A source with a lane of its own has its weight to within one block while no lane has ended.
+    sizes = Counter(sources)
+    raw = {s: max(1, weights.get(s, 3)) if weights else math.sqrt(n) for s, n in sizes.items()}
+    share = round(1000 * raw["hot"] / sum(raw.values()))
+    seen = 0
+    for k in range(len(slots) // 20):
+        seen += slots[k][0].source == "hot"
+        assert abs(seen - (k + 1) * share / 1000) < 1 + (k + 1) / 100
+
+
+def test_blocks_of_a_shared_lane_are_within_one_of_their_weights():
+    import pandas as pd
+
+    sources = pd.DataFrame({"source": ["a", None, "b"], "blocks": [40, 10, 20], "weight": [4.0, 1.0, 2.0]})
+    out = mixing.lane_order(sources).sort_values("q")
+    assert out["q"].tolist() == list(range(70))
+    shares = dict(zip([None, "a", "b"], mixing.target_shares([1.0, 4.0, 2.0], power=1.0), strict=True))
+    total, seen = sum(shares.values()), Counter()
+    for k, s in enumerate(out["source"].tolist()[:60], 1):
+        seen[s] += 1
+        assert all(abs(seen[x] * total - k * p) < total for x, p in shares.items())
+    for s, rows in out.groupby("source", dropna=False):
+        assert rows["block"].tolist() == list(range(len(rows)))
