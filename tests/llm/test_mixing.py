@@ -85,7 +85,7 @@ def test_mixture_defaults_and_empty_tables(spark):
 @pytest.mark.parametrize("weights", [None, {"hot": 900, "s7": 40, "absent": 3}])
 def test_more_sources_than_lanes(spark, weights):
     rng = random.Random(2)
-    sources = ["hot"] * 1500 + [None] * 90 + [f"s{i}" for i in range(3000) for _ in range(1 + i % 3)]
+    sources = ["hot"] * 1500 + [None] * 90 + [f"s{i}" for i in range(600) for _ in range(1 + i % 3)]
     rng.shuffle(sources)
     df = spark.createDataFrame(list(enumerate(sources)), "doc_id long, source string").repartition(4)
     got = sorted(mixing.mix_sources(df, weights, block_rows=2, most_lanes=20).collect(), key=lambda r: r.place)
