@@ -119,6 +119,24 @@ def test_large_lists_are_searched_as_families(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out if r.doc_id is not None} == want
 
 
+def test_bucket_counts_reach_the_driver_packed(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BUCKETS", 1 << 12)
+    monkeypatch.setattr(neardup, "SLICE", 1 << 8, raising=False)
+    values = np.random.default_rng(5).integers(0, 2**63, (1000, 64)).astype(np.uint64)
+    values[:, 0] = 7
+    # One slice is left empty, one bucket holds a single value.
+    values[values & np.uint64(0xF00) == np.uint64(0x300)] = 9
+    values[0, 1] = 0x3FF
+    kept = spark.createDataFrame([(v.tobytes(),) for v in values] + [(b"",)], "sketch binary").repartition(5)
+    collect, sent = type(kept).toArrow, []
+    monkeypatch.setattr(type(kept), "toArrow", lambda df: sent.append(collect(df)) or sent[-1])
+    got = neardup.bucket_counts(kept, spark)
+    want = np.bincount((values & np.uint64(0xFFF)).astype(np.int64).ravel(), minlength=1 << 12)
+    assert got.dtype == np.int32 and (got == np.maximum(want, 1)).all() and want[0x3FF] == 1
+    assert sum(x.nbytes for x in sent) < 5 * (1 << 12)
+    assert (neardup.bucket_counts(kept.limit(0), spark) == 1).all()
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
