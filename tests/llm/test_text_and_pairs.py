@@ -8,7 +8,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from latticeq.llm import decontamination, neardup
+from latticeq.llm import common, decontamination, neardup
 from latticeq.llm import text as X
 from latticeq.llm.common import components
 
@@ -152,6 +152,34 @@ def test_components(spark):
     assert got == {i: c for i, c in root.items() if any(i in p and p[0] != p[1] for p in links)}
 
 
+def test_components_in_one_task_or_in_rounds(spark, monkeypatch):
+    rng = random.Random(1)
+    ids = list({rng.randint(-(2**62), 2**62) for _ in range(300)})
+    rng.shuffle(ids)
+    # A long chain in no order of ids, stars, repeated and reversed links, one id alone.
+    links = list(zip(ids[:150], ids[1:150], strict=False)) + [(ids[150 + i % 3], x) for i, x in enumerate(ids[153:298])]
+    links += [(b, a) for a, b in links[:20]] + links[30:50] + [(ids[298], ids[298])]
+    want = {x: min(ids[:150]) for x in ids[:150]}
+    for k in range(3):
+        star = [ids[150 + k], *ids[153 + k : 298 : 3]]
+        want |= dict.fromkeys(star, min(star))
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    for most, group in ((1 << 21, "task"), (0, "rounds")):
+        monkeypatch.setattr(common, "TASK_LINKS", most, raising=False)
+        spark.sparkContext.setJobGroup(group, group)
+        found = components(df)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        rows = found.collect()
+        assert len(rows) == len(want) and {r.id: r.component for r in rows} == want
+        # Plans of every round took threads, classes and heap of the driver.
+        assert jobs <= 6 if most else jobs > 6
+    assert components(df.limit(0)).collect() == []
+    monkeypatch.setattr(common, "BATCH_ROWS", 64)
+    batches = list(common._joined(pa.table({"a": [a for a, _ in links], "b": [b for _, b in links]}).to_batches(max_chunksize=50)))
+    assert len(batches) == 5 and {i: c for x in batches for i, c in zip(*[c.to_pylist() for c in x.columns], strict=True)} == want | {ids[298]: ids[298]}
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     text = lambda n: " ".join(rng.choice(["The", "of"] + ["w%d" % rng.randint(0, 3000)] * 3) for _ in range(n))
